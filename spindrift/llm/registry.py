@@ -24,3 +24,21 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = simhash_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from spindrift.llm.bpe import encode_digests
+
+    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from spindrift.llm.token_files import token_file_digests
+
+    return token_file_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
