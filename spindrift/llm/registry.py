@@ -83,3 +83,38 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
 SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 20
 """
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op6_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+k AS (SELECT *, ('0x' || substr(md5(concat_ws('|', doc_id::VARCHAR, size::VARCHAR)), 1, 15))::BIGINT AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS lim,
+        (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER b, 0))::DOUBLE
+        / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level FROM s
+      WINDOW b AS (ORDER BY lim::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT level FROM l WHERE NOT level > lim::DOUBLE / weight ORDER BY lim::DOUBLE / weight, source NULLS LAST LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN level > lim::DOUBLE / weight THEN lim::DOUBLE ELSE weight * (SELECT level FROM f) END AS target FROM l),
+w AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS whole FROM t),
+r AS (SELECT k.doc_id, k.size, w.source_size, w.target, w.whole, w.target - w.whole * w.source_size AS rest,
+        coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+      FROM k JOIN w ON k.source IS NOT DISTINCT FROM w.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+  (size * (whole + CASE WHEN 2 * start + size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+"""
+
+
+@query
+def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.ring import shard
+
+    found = shard(table(spark, sf_dir, "documents"), shards=40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
