@@ -118,3 +118,30 @@ def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = shard(table(spark, sf_dir, "documents"), shards=40)
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.line_dedup import dedup_lines
+
+    kept = dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+ORACLES["op5_line_dedup"] = r"""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, unnest(range(len(l))) AS place, unnest(l) AS line FROM s),
+y AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) = '' AS blank,
+        row_number() OVER (ORDER BY doc_id, place) AS o FROM x),
+d AS (SELECT line, min(o) AS o, length(line) AS n FROM y WHERE NOT blank GROUP BY line),
+v AS (SELECT line, o, n, i, md5(substr(line, 1, i - 1) || substr(line, i + 1)) AS rest
+      FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d WHERE n >= 20)),
+near AS (
+  SELECT o FROM (SELECT o, min(o) OVER (PARTITION BY n, i, rest) AS m FROM v) WHERE m < o
+  UNION SELECT greatest(v.o, d.o) FROM v JOIN d ON d.n >= 20 AND v.n = d.n + 1 AND v.rest = md5(d.line)),
+gone AS (SELECT y.o FROM y JOIN d USING (line) WHERE NOT y.blank AND (y.o > d.o OR d.o IN (SELECT o FROM near))),
+kept AS (SELECT y.doc_id, string_agg(line, chr(10) ORDER BY place) AS text FROM y WHERE y.o NOT IN (SELECT o FROM gone) GROUP BY y.doc_id)
+SELECT t.doc_id, CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
+  length(CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END)::BIGINT AS n_chars
+FROM documents t LEFT JOIN kept ON kept.doc_id = t.doc_id
+"""
