@@ -145,3 +145,11 @@ SELECT t.doc_id, CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(kept.text, '')
   length(CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END)::BIGINT AS n_chars
 FROM documents t LEFT JOIN kept ON kept.doc_id = t.doc_id
 """
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.toxicity import fitted, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fitted(docs, table(spark, sf_dir, "labels")))
