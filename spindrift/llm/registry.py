@@ -153,3 +153,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return score(docs, fitted(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spindrift.llm.page_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
