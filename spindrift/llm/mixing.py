@@ -53,16 +53,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES) -> DataFrame:
-    """``(id_col, source, size, source_size, target, copies, taken)`` of every row.
-
-    Size is the number of words. A source is taken as many whole times as its target holds, and then its documents in the order
-    of their random keys, each as long as its middle lies within what is left of the target. ``taken`` is
-    ``copies`` times the size. So a source misses its target by half a document at most, and documents stay whole.
+def cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES) -> tuple[DataFrame, DataFrame]:
+    """The rows' ``(id, source, size, key, bucket)``, and for each source where its budget ends.
 
-    A null source is a source of its own, a null or empty text has size 0 and takes nothing. The random key is that of the id
-    and size, so reruns agree; rows that share both are interchangeable. Null ids take part. Columns beside the three
-    named play no part. An empty table gives an empty result.
+    The second table has ``(source, source_size, target, whole, cut, last)``: whole times the source is taken, and once more the
+    buckets before ``cut`` and in it what comes no later than ``last``; all of them if ``cut`` is null.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
     rows = staged(rows.withColumn("key", random_key("id", "size")), "sizes")
@@ -71,19 +66,52 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     buckets = staged(rows.groupBy("source", "bucket").agg(F.sum("size").alias("held")), "buckets")
     goals = targets(buckets.groupBy("source").agg(F.sum("held").alias("source_size")), weights, most)
     whole = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0))
-    goals = staged(goals.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")), "goals")
+    goals = goals.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
 
-    same = F.col("b.source").eqNullSafe(F.col("g.source"))
     so_far = Window.partitionBy("b.source").orderBy("bucket")
-    ends = buckets.alias("b").withColumn("end", F.sum("held").over(so_far)).join(goals.alias("g"), same)
-    ends = ends.where("end > left").groupBy("g.source").agg(F.min(F.struct("bucket", (F.col("end") - F.col("held")).alias("before"))).alias("cut"))
-    goals = staged(goals.alias("g").join(ends.alias("e"), F.col("e.source").eqNullSafe(F.col("g.source")), "left").select("g.*", "cut.bucket", "cut.before").withColumnRenamed("bucket", "cut"), "cuts")
+    ends = buckets.alias("b").withColumn("end", F.sum("held").over(so_far)).join(goals.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source")))
+    first = F.min(F.when(F.col("end") > F.col("left"), F.struct("bucket", (F.col("end") - F.col("held")).alias("before"))))
+    goals = ends.groupBy(F.col("g.source").alias("source")).agg(*[F.first(f"g.{c}").alias(c) for c in ("source_size", "target", "whole", "left")], first.alias("cut"))
+    goals = staged(goals.select("source", "source_size", "target", "whole", "left", F.col("cut.bucket").alias("cut"), "cut.before"), "goals")
 
-    told = rows.alias("r").join(goals.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).select("r.*", "source_size", "target", "whole", "left", "cut", "before")
-    inside = F.col("bucket") == F.col("cut")
-    sure = told.where(~F.coalesce(inside, F.lit(False))).withColumn("more", (F.col("cut").isNull() | (F.col("bucket") < F.col("cut"))).cast("long"))
+    near = rows.alias("r").join(goals.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")) & (F.col("bucket") == F.col("cut"))).select("r.*", "left", "before")
     ahead = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(ahead), F.lit(0))
-    near = told.where(inside).withColumn("more", (2 * start + F.col("size") <= 2 * F.col("left")).cast("long"))
-    out = sure.unionByName(near).withColumn("copies", F.col("whole") + F.col("more"))
+    near = near.withColumn("start", start).where(2 * F.col("start") + F.col("size") <= 2 * F.col("left"))
+    lasts = near.groupBy("source").agg(F.max(F.struct("key", "id", "size")).alias("last"))
+    joined = goals.alias("g").join(lasts.alias("l"), F.col("g.source").eqNullSafe(F.col("l.source")), "left")
+    return rows, staged(joined.select("g.source", "source_size", "target", "whole", "cut", "last"), "cuts").withColumn("bits", F.lit(bits))
+
+
+def _copies(table: DataFrame, goals: DataFrame, source: str) -> DataFrame:
+    """``table``, which has ``size``, ``key`` and ``id``, with its source's columns and ``copies``."""
+    goals = goals.withColumnRenamed("source", "__goal")
+    told = table.join(goals, table[source].eqNullSafe(goals["__goal"])).drop("__goal")
+    bucket = F.expr(f"shiftright(key, {KEY_BITS} - bits)")
+    inside = F.coalesce(F.struct("key", "id", "size") <= F.col("last"), F.lit(False))
+    more = F.col("cut").isNull() | (bucket < F.col("cut")) | ((bucket == F.col("cut")) & inside)
+    return told.withColumn("copies", F.col("whole") + more.cast("long"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES) -> DataFrame:
+    """``(id_col, source_col, size, source_size, target, copies, taken)`` of every row.
+
+    Size is the number of words. A source is taken as many whole times as its target holds, and then its documents in the order
+    of their random keys, each as long as its middle lies within what is left of the target. ``taken`` is
+    ``copies`` times the size. So a source misses its target by half a document at most, and documents stay whole.
+
+    A null source is a source of its own, a null or empty text has size 0 and takes nothing. The random key is that of the id
+    and size, so reruns agree, and rows that share both share their fate. Null ids take part. Columns beside the three
+    named play no part. An empty table gives an empty result.
+    """
+    rows, goals = cuts(docs, id_col, text_col, source_col, weights, most)
+    out = _copies(rows.drop("bucket"), goals, "source")
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` takes them, with all their columns; the texts themselves aren't shuffled."""
+    _, goals = cuts(docs, id_col, text_col, source_col, weights, most)
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("of"), word_count(text_col).alias("size"))
+    out = _copies(row.withColumn("key", random_key("id", "size")), goals, "of").where("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -148,6 +148,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each of ``simhash_groups``, with all their columns.
+
+    Rows that share an id share their fate. Rows with a null id are never dropped.
+    """
+    groups = simhash_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words)
+    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+
+
 def hex16(fp):
     """A signed long's bits as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

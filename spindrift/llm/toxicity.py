@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from spindrift.llm.arrays import ROWS_AT_ONCE
 
@@ -290,6 +291,22 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return train([r.text for r in rows], [int(r.y) for r in rows])
 
 
+def with_score(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
+    """All rows and columns of ``docs`` and the score of its text as column ``name``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = batch.slice(start, ROWS_AT_ONCE)
+                scores = pa.array(own.scores(some.column(at).to_pylist()), pa.float64())
+                yield pa.RecordBatch.from_arrays([*some.columns, scores], names=[*some.schema.names, name])
+
+    return docs.mapInArrow(of, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, held_out, score, predicted)`` of every row, from its whole text alone.
 
@@ -297,15 +314,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     a null id is not held out. Columns beside the two named play no part. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                some = batch.slice(at, ROWS_AT_ONCE)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(own.scores(some.column(1).to_pylist()), pa.float64())], names=["id", "score"])
-
-    scored = rows.mapInArrow(of, f"id {rows.schema['id'].dataType.simpleString()}, score double")
     held = F.coalesce(~learnable("id"), F.lit(False))
+    scored = with_score(rows, model, "text", "score")
     return scored.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score lies below ``THRESHOLD``, with all their columns."""
+    return with_score(docs, model, text_col, "__score").where(F.col("__score") < THRESHOLD).drop("__score")
