@@ -7,6 +7,8 @@ places of all documents without touching their ids.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,34 +31,73 @@ PARTITION_BYTES = 32 << 20
 WORDS_KEPT = 400_000
 
 
-@lru_cache(maxsize=2)
-def word_encoder(path: str):
-    """The tokenizer of a file, and the ids of words that it has met, as little-endian 32-bit integers."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer, {}
+#: Words whose normal form is themselves and which are one word to the tokenizer, and the marks that may follow one.
+PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+MARKS = ".,;:!?"
 
 
-def encode_texts(path: str, texts: Iterator[str | None], end_id: int | None) -> Iterator[bytes]:
-    """Ids of each text as little-endian 32-bit integers, with ``end_id`` at the end.
+class WordEncoder:
+    """The tokenizer of a file, and the ids of pieces of text that it has met, as little-endian 32-bit integers.
 
     The tokenizer drops white space and nothing it does reaches across white space, so a text's ids are those of its
-    pieces between the white space of ASCII. The library encodes each distinct piece once.
+    pieces between the white space of ASCII. A plain word in a piece goes to the library's model at once, what follows it and
+    all other pieces through the whole tokenizer.
     """
-    tokenizer, known = word_encoder(path)
-    end = b"" if end_id is None else np.array([end_id], dtype="<i4").tobytes()
-    for text in texts:
-        pieces = (text or "").encode().split()
-        new = [p for p in set(pieces) if p not in known]
-        if new:
-            if len(known) + len(new) > WORDS_KEPT:
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        spelt = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = str.maketrans({c: spelt.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))})
+        self.pieces: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def piece(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        lower = text.lower()
+        word = lower.rstrip(MARKS)
+        if not PLAIN.fullmatch(word):
+            return self.whole(text)
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.words[word] = _packed([t.id for t in self.model.tokenize(word.translate(self.letters))])
+        if len(word) == len(lower):
+            return ids
+        marks = lower[len(word) :]
+        if marks not in self.words:
+            self.words[marks] = self.whole(marks)
+        return ids + self.words[marks]
+
+    def encode(self, texts: Iterator[str | None], end_id: int | None) -> Iterator[bytes]:
+        """Ids of each text, with ``end_id`` at the end."""
+        end = b"" if end_id is None else _packed([end_id])
+        known = self.pieces
+        for text in texts:
+            pieces = (text or "").encode().split()
+            if len(known) > WORDS_KEPT:
                 known.clear()
-                new = list(set(pieces))
-            for piece, encoded in zip(new, tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-                known[piece] = np.array(encoded.ids, dtype="<i4").tobytes()
-        yield b"".join(map(known.__getitem__, pieces)) + end
+            if len(self.words) > WORDS_KEPT:
+                self.words.clear()
+            for piece in set(pieces).difference(known):
+                known[piece] = self.piece(piece)
+            yield b"".join(map(known.__getitem__, pieces)) + end
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -74,7 +115,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
         for batch in batches:
-            encoded = encode_texts(tokenizer_path, values(batch.column(1)), end_id)
+            encoded = word_encoder(tokenizer_path).encode(values(batch.column(1)), end_id)
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 some = batch.slice(at, ROWS_AT_ONCE)
                 each = [next(encoded) for _ in range(some.num_rows)]
