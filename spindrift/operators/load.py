@@ -55,7 +55,8 @@ def write(rows: DataFrame, path: str, kind: Format, mode: str = "append", single
         if mode == "append":
             held = _read_back(spark, path, kind, rows)
             if single_file or not _is_folder(spark, path):
-                return _replaced(held.unionByName(rows), path, kind, True) - held.count()
+                before = held.count()
+                return _replaced(held.unionByName(rows), path, kind, True) - before
             return _counted(rows, lambda df: _writer(df, kind, "append").save(path))
         if mode == "upsert" and key:
             held = _read_back(spark, path, kind, rows)
