@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spindrift.errors import ConfigurationError
 from spindrift.functions.template import Template
@@ -86,8 +87,8 @@ def _called(prompted: DataFrame, spec: TransformSpec, service: Service) -> DataF
             if hasattr(client, "close"):
                 client.close()
 
-    base = prompted.drop("__text", "__error")
-    return prompted.mapInArrow(of, base.withColumns({"__text": F.lit("").cast("string"), "__error": F.lit("").cast("string")}).schema)
+    fields = [prompted.schema.fields[i] for i in kept]
+    return prompted.mapInArrow(of, T.StructType([*fields, *[T.StructField(c, T.StringType()) for c in ("__text", "__error")]]))
 
 
 async def complete(prompts: list[str], client: Client, spec: TransformSpec, service: Service) -> list[tuple[str | None, str | None]]:
