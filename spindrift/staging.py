@@ -6,6 +6,7 @@ Staging cuts lineage in a way that survives lost executors: the rows are Parquet
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,15 @@ def read_staged(spark: SparkSession, path: str, schema) -> DataFrame:
     return out
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over and whose plans nothing refers to any more.
+
+    Spark's cleaner follows the driver's garbage collection, which may be a long time off while shuffle files fill the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a DataFrame that ``staged`` returned; it must not be read again."""
     delete(df.sparkSession, df._staged_path)
