@@ -216,3 +216,32 @@ def test_windowed_stream(spark, tmp_path):
     told = windowed_rates(stream, "ts", F.col("k") == "bad")
     told.writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("rates").count() == 2
+
+
+def test_history_and_cache(spark, sources):
+    from spindrift.plans.history import cached, keep, remember, runs
+
+    folder, path = str(sources / "history"), str(sources / "cache")
+    for _ in range(3):
+        run = Runner(pipeline(sources)).run(spark)
+        remember(spark, run, folder)
+    told = runs(spark, folder, 2).collect()
+    assert len(told) == 2 and {r.status for r in told} == {"partial"} and spark.read.parquet(f"{folder}/lineage").count() == 12
+    prompts = spark.createDataFrame([("a",), ("a",), ("b",)], "__prompt string")
+    upper = lambda wanted: wanted.withColumn("text", F.upper("__prompt"))
+    assert cached(spark, path) is None
+    keep(complete_once(prompts, cached(spark, path), upper, "m", "1"), path, 60)
+    assert cached(spark, path).count() == 2
+    assert complete_once(prompts, cached(spark, path), upper, "m", "1").where("cached").count() == 3
+
+
+def test_stage_limits(spark):
+    import time
+
+    from spindrift.errors import DeadlineError
+    from spindrift.plans.history import within
+
+    assert within(spark, 30, lambda: spark.range(3).count()) == 3
+    slow = spark.range(4).select(F.udf(lambda x: time.sleep(8) or x, "long")("id"))
+    with pytest.raises(DeadlineError):
+        within(spark, 2, lambda: slow.collect())
