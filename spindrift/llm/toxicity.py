@@ -30,18 +30,20 @@ from spindrift.llm.arrays import ROWS_AT_ONCE
 DECAY = 0.75
 #: Letters that a subsequence of three may span at most, and letters of a word that are looked at in one piece.
 SPAN, PIECE = 5, 32
-#: Labelled texts that training uses at most, of each label; those whose ids hash lowest.
-MOST_TEXTS = 3000
+#: Toxic and clean labelled texts that training uses at most; those whose ids hash lowest.
+MOST_TOXIC, MOST_CLEAN = 2000, 4000
 #: Parts of the texts, one of which a machine of the others judges for the logistic function; with fewer texts than this, each in turn.
 FOLDS, FEW_TEXTS = 4, 1500
-LANDMARKS = 160
+LANDMARKS = 200
 #: Evidence beyond which a word stays a witness in every round.
 PLAIN = 30
 #: Witnesses whose variant spellings are positives too, and how much one of those counts.
-VARIED, SPELT = 60, 0.05
+VARIED, SPELT = 60, 0.02
 #: Words of clean texts taken at first and added each round, those with the highest margins.
-NEGATIVES, HARDER, ROUNDS = 5000, 2000, 4
+NEGATIVES, HARDER, ROUNDS = 5000, 2000, 7
 THRESHOLD = 0.7
+#: Words whose subsequences are laid out at once.
+WORDS_AT_ONCE = 4096
 #: Distinct words whose margins a worker remembers.
 WORDS_KEPT = 500_000
 SEED = 11
@@ -109,11 +111,15 @@ class Model:
         self.known: dict[str, float] = {}
 
     def margins(self, words: list[str]) -> np.ndarray:
-        rows, codes, weights = subsequences(words)
-        at = np.searchsorted(self.codes, codes)
-        at[at == len(self.codes)] = 0
-        hit = self.codes[at] == codes if len(self.codes) else np.zeros(len(codes), dtype=bool)
-        return np.bincount(rows[hit], weights[hit] * self.weights[at[hit]], minlength=len(words)) + self.bias
+        out = [np.empty(0)]
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            rows, codes, weights = subsequences(some)
+            place = np.searchsorted(self.codes, codes)
+            place[place == len(self.codes)] = 0
+            hit = self.codes[place] == codes if len(self.codes) else np.zeros(len(codes), dtype=bool)
+            out.append(np.bincount(rows[hit], weights[hit] * self.weights[place[hit]], minlength=len(some)) + self.bias)
+        return np.concatenate(out)
 
     def meet(self, pieces: set[str]) -> None:
         """Remember the margins of words not met before."""
@@ -150,51 +156,57 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     if not labels.any() or labels.all():
         rate = (labels.sum() + 1) / (len(labels) + 2) if len(labels) else 0.01
         return Model(np.empty(0, dtype=np.int64), np.empty(0), 0.0, 0.0, math.log(rate / (1 - rate)))
-    bags = [{w for p in pieces_of(t) for w in words_of(p)} for t in texts]
+    number: dict[str, int] = {}
+    bags = [np.unique([number.setdefault(w, len(number)) for p in pieces_of(t) for w in words_of(p)]).astype(np.int32) for t in texts]
+    words = list(number)
     fold = np.array([zlib.crc32(t.encode()) % FOLDS for t in texts])
     judged = range(FOLDS) if len(texts) < FEW_TEXTS else range(1)
     margins, of = [], []
     for k in judged:
         inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(outside) and 0 < labels[inside].sum() < len(inside):
-            model = machine_of([bags[i] for i in inside], labels[inside])
-            margins += model.best([texts[i] for i in outside])
+            model = machine_of(words, [bags[i] for i in inside], labels[inside])
+            each = model.margins(words)
+            margins += [each[bags[i]].max(initial=model.bias) for i in outside]
             of += labels[outside].tolist()
-    model = machine_of(bags, labels)
+    model = machine_of(words, bags, labels)
     if not 0 < sum(of) < len(of):
-        margins, of = model.best(texts), labels.tolist()
+        each = model.margins(words)
+        margins, of = [each[bag].max(initial=model.bias) for bag in bags], labels.tolist()
     model.slope, model.shift = logistic(np.array(margins), np.array(of))
     return model
 
 
-def machine_of(bags: list[set[str]], labels: np.ndarray) -> Model:
-    """The machine of labelled bags of words, by witnesses and ever harder negatives."""
+def machine_of(words: list[str], bags: list[np.ndarray], labels: np.ndarray) -> Model:
+    """The machine of labelled bags of numbers of words, by witnesses and ever harder negatives."""
     bad, good = ([bag for bag, y in zip(bags, labels, strict=True) if y == of] for of in (1, 0))
-    in_bad, in_good = (Counter(w for bag in b for w in bag) for b in (bad, good))
-    ranked = sorted(((_evidence(n, in_good[w], len(bad), len(good)), w) for w, n in in_bad.items()), reverse=True)
-    witnesses = [w for e, w in ranked if e > 8][:1000]
-    witnesses = witnesses if len(witnesses) > 5 else [w for _, w in ranked[:20]]
-    plain = Counter({w: in_bad[w] for e, w in ranked if e > PLAIN})
+    in_bad, in_good = (np.bincount(np.concatenate([np.empty(0, dtype=np.int32), *b]), minlength=len(words)) for b in (bad, good))
+    evidence = np.zeros(len(words))
+    for w in np.flatnonzero(in_bad).tolist():
+        evidence[w] = _evidence(int(in_bad[w]), int(in_good[w]), len(bad), len(good))
+    ranked = np.argsort(-evidence, kind="stable")
+    witnesses = [w for w in ranked[:1000].tolist() if evidence[w] > 8]
+    witnesses = witnesses if len(witnesses) > 5 else [w for w in ranked[:20].tolist() if in_bad[w]]
+    plain = {w: int(in_bad[w]) for w in np.flatnonzero(evidence > PLAIN).tolist()}
     random = np.random.default_rng(SEED)
-    others = sorted(in_good)
-    some = [others[i] for i in random.permutation(len(others))]
-    nystrom = Nystrom(list(dict.fromkeys([*witnesses[: LANDMARKS // 2], *some[: LANDMARKS // 2]])))
-    common = sorted(in_good, key=lambda w: (-in_good[w], w))[: NEGATIVES // 2]
-    negatives = {*common, *some[: NEGATIVES // 2]}
-    positives = Counter(witnesses)
-    spelt = [v for w in witnesses[:VARIED] for v in variants(w, random) if v not in in_good]
+    others = np.flatnonzero(in_good)
+    some = random.permutation(others)
+    nystrom = Nystrom([words[w] for w in dict.fromkeys([*witnesses[: LANDMARKS // 2], *some[: LANDMARKS // 2].tolist()])])
+    common = others[np.argsort(-in_good[others], kind="stable")][: NEGATIVES // 2]
+    negatives = {*common.tolist(), *some[: NEGATIVES // 2].tolist()}
+    positives = dict.fromkeys(witnesses, 1)
+    spelt = [v for w in witnesses[:VARIED] for v in variants(words[w], random)]
     for turn in range(ROUNDS):
-        plus = [*positives, *spelt]
-        model = nystrom.machine(plus, [*positives.values(), *[SPELT] * len(spelt)], sorted(negatives))
-        if turn == ROUNDS - 1:
+        plus = [*(words[w] for w in positives), *spelt]
+        model = nystrom.machine(plus, [*positives.values(), *[SPELT] * len(spelt)], [words[w] for w in sorted(negatives)])
+        margin = model.margins(words)
+        harder = others[np.argsort(-margin[others], kind="stable")[:HARDER]]
+        if turn == ROUNDS - 1 or turn > 2 and negatives.issuperset(harder[margin[harder] > -0.5].tolist()):
             return model
-        margins = model.margins(others)
-        negatives.update(others[i] for i in np.argsort(-margins, kind="stable")[:HARDER])
-        words = sorted(in_bad)
-        margin = dict(zip(words, model.margins(words).tolist(), strict=True))
-        stand = Counter(max(bag, key=lambda w: (margin[w], w)) for bag in bad if bag)
-        stand = Counter({w: n for w, n in stand.items() if w not in in_good and margin[w] > 0})
-        positives = (stand | plain) or Counter(witnesses)
+        negatives.update(harder.tolist())
+        stand = Counter(int(bag[np.argmax(margin[bag])]) for bag in bad if len(bag))
+        stand = {w: n for w, n in stand.items() if not in_good[w] and margin[w] > 0}
+        positives = (stand | plain) or dict.fromkeys(witnesses, 1)
     return model
 
 
@@ -245,10 +257,11 @@ class Nystrom:
 
     def machine(self, plus: list[str], counts: list[int], minus: list[str]) -> Model:
         """The model that lowers the squared hinge loss, both labels weighing the same, by accelerated gradients."""
-        x = np.vstack([self.features(plus), self.features(minus)])
-        y = np.append(np.ones(len(plus)), -np.ones(len(minus)))
+        # The last row is a word that shares nothing with any landmark: it counts as clean, as much as a fifth of all clean words.
+        x = np.vstack([self.features(plus), self.features(minus), np.zeros(self.rows.shape[1])])
+        y = np.append(np.ones(len(plus)), -np.ones(len(minus) + 1))
         shares = np.sqrt(np.array(counts, dtype=float))
-        each = np.append(shares / shares.sum(), np.full(len(minus), 1 / max(1, len(minus)))) / 2
+        each = np.concatenate([shares / shares.sum(), np.full(len(minus), 0.8 / max(1, len(minus))), [0.2]]) / 2
         x = np.hstack([x, np.ones((len(x), 1))])
         penalty = np.append(np.full(x.shape[1] - 1, 2e-4), 1e-6)
         step = 1 / (2 * np.linalg.eigvalsh((x * each[:, None]).T @ x)[-1] + penalty.max())
@@ -265,11 +278,19 @@ def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     ones, zeros = labels.sum(), len(labels) - labels.sum()
     goal = np.where(labels == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
     x = np.stack([margins, np.ones(len(margins))], axis=1)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - goal * z).sum() + 5e-4 * (w * w).sum())
+
     w = np.array([1.0, 0.0])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         change = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - goal) + 1e-3 * w)
-        w = w - np.clip(change, -1, 1)
+        step = next((s for s in 0.5 ** np.arange(30) if loss(w - s * change) < loss(w)), 0.0)
+        if not step:
+            break
+        w = w - step * change
     return max(float(w[0]), 1e-3), float(w[1])
 
 
@@ -279,12 +300,12 @@ def learnable(id_col: str):
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from at most ``MOST_TEXTS`` labelled texts of each label among the rows that training may use.
+    """A model from at most ``MOST_TOXIC`` toxic and ``MOST_CLEAN`` clean texts among the rows that training may use.
 
     Rows with a null id, text or label are left out; an id labelled both ways counts as toxic.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & learnable(id_col)).groupBy(id_col).agg(F.max(label_col).alias("y"))
-    sampled = [known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(MOST_TEXTS) for y in (0, 1)]
+    sampled = [known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(most) for y, most in ((0, MOST_CLEAN), (1, MOST_TOXIC))]
     marked = sampled[0].unionByName(sampled[1]).withColumnRenamed(id_col, "id")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(marked), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy("id").collect()
