@@ -32,6 +32,8 @@ DECAY = 0.75
 SPAN, PIECE = 5, 32
 #: Toxic and clean labelled texts that training uses at most; those whose ids hash lowest.
 MOST_TOXIC, MOST_CLEAN = 2000, 4000
+#: Code points of the longest text that training uses; with the bounds above this bounds the driver's memory.
+LONGEST_TEXT = 20_000
 #: Parts of the texts, one of which a machine of the others judges for the logistic function; with fewer texts than this, each in turn.
 FOLDS, FEW_TEXTS = 4, 1500
 LANDMARKS = 200
@@ -302,12 +304,12 @@ def learnable(id_col: str):
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from at most ``MOST_TOXIC`` toxic and ``MOST_CLEAN`` clean texts among the rows that training may use.
 
-    Rows with a null id, text or label are left out; an id labelled both ways counts as toxic.
+    Rows with a null id, text or label and texts longer than ``LONGEST_TEXT`` are left out of training; an id labelled both ways counts as toxic.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & learnable(id_col)).groupBy(id_col).agg(F.max(label_col).alias("y"))
     sampled = [known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(most) for y, most in ((0, MOST_CLEAN), (1, MOST_TOXIC))]
     marked = sampled[0].unionByName(sampled[1]).withColumnRenamed(id_col, "id")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.char_length("text") <= LONGEST_TEXT)
     rows = texts.join(F.broadcast(marked), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy("id").collect()
     return train([r.text for r in rows], [int(r.y) for r in rows])
 
