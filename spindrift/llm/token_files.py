@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm.arrays import ROWS_AT_ONCE, values
@@ -139,34 +139,37 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """The files' rows with ``start``, the number of ids of all documents before each.
+    """The files' rows: the id, its ``ids`` and ``n_tokens``, its ``part`` and ``offset``, the number of ids before it in its part."""
+    return spark.read.parquet(path)
 
-    A file states each document's place within its part. The parts' places are a running sum over one row a part,
-    read from the length columns alone.
-    """
-    from pyspark.sql import Window
 
-    rows = spark.read.parquet(path)
-    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
+def placed(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``rows``, which have ``part`` and ``offset``, with ``start`` instead: the number of ids of all documents before each.
+
+    The parts' places are a running sum over one row a part, read from the length columns of ``files`` alone. The rows are
+    joined to them, so columns that aren't needed, as the ids, should be gone.
+    """
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     places = parts.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first"))
     return rows.join(places, "part").withColumn("start", F.col("first") + F.col("offset")).drop("part", "offset", "first")
 
 
-def token_digests(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def token_digests(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id_col, start, n_tokens, ids_crc32)`` from the rows of ``read_tokens``."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
+            lists = batch.column(4)
             flat = np.asarray(lists.values).astype("<i4", copy=False)
             bounds = np.asarray(lists.offsets)
             sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sums, pa.int64())], names=["id", "part", "offset", "n_tokens", "ids_crc32"])
 
-    rows = tokens.select(F.col(id_col).alias("id"), "start", "n_tokens", "ids")
+    rows = files.select(F.col(id_col).alias("id"), "part", "offset", "n_tokens", "ids")
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(of, f"id {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    sums = rows.mapInArrow(of, f"id {kind}, part int, offset long, n_tokens long, ids_crc32 long")
+    return placed(sums, files).select(F.col("id").alias(id_col), "start", "n_tokens", "ids_crc32")
 
 
 def token_file_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
