@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.staging import staged
+from spindrift.staging import discard, reclaim, staged
 
 #: Stretches that a line is cut into, and the fewest code points of a line that is compared within an edit.
 PIECES = 4
@@ -57,17 +57,27 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = distinct.where("times > 1").select("h1", "h2", "first")
     again = spots.join(repeated, ["h1", "h2"]).where(~F.col("spot").eqNullSafe(F.col("first"))).select("spot.*")
     # A line that goes near an earlier one goes as a first occurrence, and its repeats go as repeats.
-    return again.unionByName(_near(texts, distinct))
-
-
-def _near(texts: DataFrame, distinct: DataFrame) -> DataFrame:
-    """First occurrences that are one edit away from an earlier line."""
+    met = _met(distinct)
+    reclaim(docs.sparkSession)
+    gone = staged(again.unionByName(_near(texts, met)), "gone-lines")
+    del spots, lines, keyed, repeated, again
+    for table in (distinct, met):
+        discard(table)
+    reclaim(docs.sparkSession)
+    return gone
+
+
+def _met(distinct: DataFrame) -> DataFrame:
+    """By document the first occurrences of lines that meet another over some stretch, with that stretch."""
     stretches = F.array(*[F.struct(F.lit(j).alias("stretch"), F.col(f"k{j}").alias("key")) for j in range(2 * PIECES)])
     coarse = distinct.where("k0 is not null").select(F.xxhash64("h1", "h2").alias("line_id"), F.explode(stretches).alias("x")).select("line_id", "x.*")
     held = coarse.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("held > 1").select("line_id", "stretch")
     met = distinct.select(F.xxhash64("h1", "h2").alias("line_id"), "first").join(held, "line_id")
-    met = staged(met.groupBy("first.__id", "first.__of").agg(F.collect_list(F.struct(F.col("first.__place").alias("__place"), "stretch")).alias("met")), "met-lines")
+    return staged(met.groupBy("first.__id", "first.__of").agg(F.collect_list(F.struct(F.col("first.__place").alias("__place"), "stretch")).alias("met")), "met-lines")
 
+
+def _near(texts: DataFrame, met: DataFrame) -> DataFrame:
+    """First occurrences that are one edit away from an earlier line."""
     same = F.col("t.__id").eqNullSafe(F.col("m.__id")) & (F.col("t.__of") == F.col("m.__of"))
     found = texts.alias("t").join(met.hint("shuffle_hash").alias("m"), same).select("t.__id", "t.__of", F.split("text", "\n", -1).alias("lines"), "met")
     found = found.select("__id", "__of", F.explode(F.transform("met", lambda m: F.struct(m["__place"].alias("__place"), m["stretch"].alias("stretch"), F.get("lines", m["__place"]).alias("line")))).alias("m"))
