@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Rows turned into Python objects at once, so that memory follows a few texts and not a whole batch.
 ROWS_AT_ONCE = 128
@@ -53,6 +55,21 @@ def _last(batch: pa.RecordBatch, keys: list[str]) -> tuple:
     return _row(batch, keys, batch.num_rows - 1)
 
 
+def made_on_a_worker(rows: DataFrame, make: Callable[[list[dict]], object]) -> object:
+    """What ``make`` builds from all of a bounded number of rows, in one task of its own.
+
+    Numeric libraries start as many threads as the machine has cores in the driver, but one in a Spark worker, where
+    the cores are shared out. The result comes back pickled, and must be small.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = make([row for batch in batches for row in batch.to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["made"])
+
+    rows.sparkSession.sparkContext.environment.setdefault("OMP_NUM_THREADS", "1")
+    return pickle.loads(rows.repartition(1).mapInArrow(of, "made binary").first()["made"])
+
+
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For each of ``n`` nodes the smallest node that the pairs reach from it."""
     root = list(range(n))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.arrays import values
+from spindrift.llm.arrays import made_on_a_worker, values
 from spindrift.llm.page_blocks import Block, blocks
 
 #: Labelled pages that the field is trained on, and the seed of their layouts.
@@ -279,7 +279,8 @@ def extract(pages: DataFrame, field: Field | None = None, html_col: str = "html"
     A null or empty page, or one without main text, has an empty text. Repeated rows and null ids come back like any other;
     other columns play no part. An empty table gives an empty result.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(field or trained())
+    spark = pages.sparkSession
+    shared = spark.sparkContext.broadcast(field or made_on_a_worker(spark.range(1), lambda rows: trained()))
     rows = pages.select(*keep, F.col(html_col).alias("__html"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from spindrift.llm.arrays import ROWS_AT_ONCE
+from spindrift.llm.arrays import ROWS_AT_ONCE, made_on_a_worker
 
 DECAY = 0.75
 #: Letters that a subsequence of three may span at most, and letters of a word that are looked at in one piece.
@@ -310,8 +310,13 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sampled = [known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(most) for y, most in ((0, MOST_CLEAN), (1, MOST_TOXIC))]
     marked = sampled[0].unionByName(sampled[1]).withColumnRenamed(id_col, "id")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.char_length("text") <= LONGEST_TEXT)
-    rows = texts.join(F.broadcast(marked), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy("id").collect()
-    return train([r.text for r in rows], [int(r.y) for r in rows])
+    rows = texts.join(F.broadcast(marked), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+
+    def model(rows: list[dict]) -> Model:
+        rows = sorted(rows, key=lambda r: r["id"])
+        return train([r["text"] for r in rows], [int(r["y"]) for r in rows])
+
+    return made_on_a_worker(rows, model)
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
