@@ -141,7 +141,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     marked = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
     nodes = staged(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    reached = connected_components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    reached = connected_components(staged(links(nodes.select("fp")), "near")).withColumnRenamed("node", "fp")
     grouped = nodes.join(reached, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = grouped.join(least, "component").select("fp", "component_id")
