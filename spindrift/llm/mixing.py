@@ -17,8 +17,6 @@ from spindrift.staging import staged
 #: Weights by the sources' order, again and again, and the most times that a source is repeated.
 WEIGHTS = (1, 2, 3)
 MOST_TIMES = 3
-#: Rows that a bucket of a source holds on average if one source has all rows.
-ROWS_IN_BUCKET = 20_000
 KEY_BITS = 60
 
 
@@ -61,7 +59,8 @@ def cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
     rows = staged(rows.withColumn("key", random_key("id", "size")), "sizes")
-    bits = max(0, math.ceil(math.log2(max(1, rows.count()) / ROWS_IN_BUCKET)))
+    # As many buckets as rows in the bucket of a source that has all rows, so that neither becomes a long task.
+    bits = math.ceil(math.log2(max(1, rows.count())) / 2)
     rows = rows.withColumn("bucket", F.shiftright("key", KEY_BITS - bits))
     buckets = staged(rows.groupBy("source", "bucket").agg(F.sum("size").alias("held")), "buckets")
     goals = targets(buckets.groupBy("source").agg(F.sum("held").alias("source_size")), weights, most)
