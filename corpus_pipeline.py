@@ -1,7 +1,7 @@
 """From raw documents to token digests: five stages, each over all that the one before it kept.
 
 toxicity      documents scored as toxic go
-line_dedup    lines that repeat an earlier line, exactly or within one edit, are taken out; all documents stay
+line_dedup    lines that repeat an earlier line, exactly, within one edited code point or two replaced words, are taken out; all documents stay
 simhash       of documents linked by their SimHash the one with the smallest id stays
 mixing        sources are brought to their target weights; a document may go, stay or repeat
 byte_bpe      the texts are encoded and decoded; one row of digests a document
@@ -23,7 +23,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    return line_dedup.dedup_lines(docs, words=2).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

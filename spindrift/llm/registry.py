@@ -128,6 +128,15 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+@query
+def op5_line_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op5_line_dedup``, whose SQL knows one code point alone, and with up to two words replaced or one more or less."""
+    from spindrift.llm.line_dedup import dedup_lines
+
+    kept = dedup_lines(table(spark, sf_dir, "documents"), words=2)
+    return kept.select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 ORACLES["op5_line_dedup"] = r"""
 WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
 x AS (SELECT doc_id, unnest(range(len(l))) AS place, unnest(l) AS line FROM s),

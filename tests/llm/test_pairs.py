@@ -225,3 +225,39 @@ def test_line_dedup(spark):
     twins = spark.createDataFrame([(1, pool[0] + "\n" + pool[0])] * 2, "doc_id long, text string")
     assert [x.text for x in dedup_lines(twins).collect()] == [pool[0]] * 2
     assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def near_words(a, b, most):
+    a, b = a.split(), b.split()
+    short, long = sorted((a, b), key=len)
+    if len(short) < 6:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) <= min(most, len(a) // 6)
+    return len(long) == len(short) + 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_line_dedup_by_words(spark, most):
+    r = random.Random(most)
+    word = lambda: "".join(r.choice("abcdéñ中") for _ in range(r.randint(2, 9)))
+    pool = [[word() for _ in range(r.choice((4, 5, 6, 7, 11, 12, 13, 18, 40, 90)))] for _ in range(40)]
+
+    def edited(words):
+        words = list(words)
+        for _ in range(r.randint(0, 4)):
+            words[r.randrange(len(words))] = word()
+        at = r.randrange(len(words))
+        return r.choice((" ", " ", "  ", "\t")).join(r.choice((words, words, words, words[:at] + words[at + 1 :], words[:at] + [word()] + words[at:])))
+
+    rows = [(i, "\n".join(edited(r.choice(pool)) if r.random() < 0.8 else edited([word() for _ in range(12)]) for _ in range(5))) for i in range(60)]
+    rows += [(100, None), (101, ""), (None, " ".join(pool[3])), (102, "a " * 3000 + "b"), (103, "a " * 1500 + "c " + "a " * 1499 + "b"), (104, "a " * 2999 + "b")]
+    docs = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id long, text string, w int, of_words int")
+    spots = sorted(((i is not None, i or 0), p, line) for i, t in rows if t is not None for p, line in enumerate(t.split("\n")) if line.strip())
+    near = lambda a, b: a == b or min(len(a), len(b)) >= SHORTEST and one_edit(a, b) or near_words(a, b, most)
+    gone = {(at, p) for n, (at, p, line) in enumerate(spots) if any(near(line, x) for _, _, x in spots[:n])}
+    want = {i: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if ((i is not None, i or 0), p) not in gone) for i, t in rows}
+    got = dedup_lines(docs, words=most)
+    assert got.columns == docs.columns and {x.doc_id: x.text for x in got.collect()} == want
+    assert want != plain_line_dedup(rows)
+    assert dedup_lines(docs.limit(0), words=most).count() == 0
