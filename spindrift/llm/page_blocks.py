@@ -12,8 +12,8 @@ BLOCKS = frozenset(
 )
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template textarea svg iframe object math".split())
+#: Elements whose content is no text of the page and holds no tags. If one is never closed it takes the rest of the page, as in a browser.
+RAW = frozenset("script style textarea".split())
 #: Elements that an element's start tag ends, if they are open within the nearest of the second set.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),

@@ -251,3 +251,11 @@ def test_page_table(spark):
     want = "A title & more First paragraph of the text, long enough to read well. Second one goes on."
     assert Counter((x.page_id, x.text, x.n_chars) for x in got) == Counter({(1, want, len(want)): 2, (None, want, len(want)): 1, (2, "", 0): 1, (3, "", 0): 1})
     assert page_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["math", "object", "svg", "noscript", "template", "iframe"])
+def test_blocks_within_embedded_elements(name):
+    told = [b.text for b in blocks(f"<p>a</p><{name}><p>x = 1</p></{name}><p>b</p>")]
+    assert told == ["a", "x = 1", "b"]
+    assert [b.text for b in blocks(f"<p>a</p><{name}><p>b</p><p>c</p>")] == ["a", "b", "c"]
+    assert [b.text for b in blocks("<p>a</p><script><p>b</p></script><style>c</style><textarea>d</textarea><p>e</p>")] == ["a", "e"]
