@@ -302,21 +302,27 @@ def learnable(id_col: str):
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from at most ``MOST_TOXIC`` toxic and ``MOST_CLEAN`` clean texts among the rows that training may use.
-
-    Rows with a null id, text or label and texts longer than ``LONGEST_TEXT`` are left out of training; an id labelled both ways counts as toxic.
-    """
-    known = labels.where(F.col(label_col).isin(0, 1) & learnable(id_col)).groupBy(id_col).agg(F.max(label_col).alias("y"))
-    sampled = [known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(most) for y, most in ((0, MOST_CLEAN), (1, MOST_TOXIC))]
-    marked = sampled[0].unionByName(sampled[1]).withColumnRenamed(id_col, "id")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.char_length("text") <= LONGEST_TEXT)
-    rows = texts.join(F.broadcast(marked), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    """A model from the texts of ``sampled``."""
 
     def model(rows: list[dict]) -> Model:
         rows = sorted(rows, key=lambda r: r["id"])
         return train([r["text"] for r in rows], [int(r["y"]) for r in rows])
 
-    return made_on_a_worker(rows, model)
+    return made_on_a_worker(sampled(docs, labels, id_col, text_col, label_col), model)
+
+
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """``(id, y, text)`` of at most ``MOST_TOXIC`` toxic and ``MOST_CLEAN`` clean texts among the rows that training may use.
+
+    Rows with a null id, text or label and texts longer than ``LONGEST_TEXT`` are left out, and so are labels without a document; all
+    before the numbers are bounded. An id labelled both ways counts as toxic.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.char_length("text") <= LONGEST_TEXT)
+    known = labels.where(F.col(label_col).isin(0, 1) & learnable(id_col)).groupBy(id_col).agg(F.max(label_col).alias("y"))
+    known = known.join(texts.select(F.col("id").alias(id_col)).where(learnable(id_col)), id_col, "left_semi")
+    both = [known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(most) for y, most in ((0, MOST_CLEAN), (1, MOST_TOXIC))]
+    marked = both[0].unionByName(both[1]).withColumnRenamed(id_col, "id")
+    return texts.join(F.broadcast(marked), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:

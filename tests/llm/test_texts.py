@@ -259,3 +259,14 @@ def test_blocks_within_embedded_elements(name):
     assert told == ["a", "x = 1", "b"]
     assert [b.text for b in blocks(f"<p>a</p><{name}><p>b</p><p>c</p>")] == ["a", "b", "c"]
     assert [b.text for b in blocks("<p>a</p><script><p>b</p></script><style>c</style><textarea>d</textarea><p>e</p>")] == ["a", "e"]
+
+
+def test_places_in_the_sample_go_to_usable_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 5)
+    monkeypatch.setattr(toxicity, "MOST_CLEAN", 5)
+    usable = [i for i in range(400) if i % 20 == 0 and zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, "short" if i % 20 == 0 else None if i % 3 == 0 else "x" * (toxicity.LONGEST_TEXT + 1)) for i in range(200)] + [(i, "short") for i in range(200, 400, 20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, (i // 20) % 2) for i in range(400)], "doc_id long, toxic int")
+    got = toxicity.sampled(docs, labels).collect()
+    toxic = sum((i // 20) % 2 for i in usable)
+    assert Counter(x.y for x in got) == {1: min(5, toxic), 0: min(5, len(usable) - toxic)} and {x.id for x in got} <= set(usable)
