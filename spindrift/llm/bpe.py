@@ -5,8 +5,8 @@ joins to the positions where the pair stands. The ranks are replayed in ascendin
 lowest rank merge, left to right, and only the two neighbours that a merge touches get new entries. Each word thus goes
 through exactly the merges that a word-by-word encoder would apply.
 
-The words of a block are the distinct words of a batch of documents that its task has not met before, so a block is bounded,
-nothing is shuffled, and a lost executor costs the rerun of its tasks.
+The words of a block are the distinct words of one text that its task does not remember, at most ``WORDS_IN_BLOCK`` of them. So once a task
+remembers the common words a block is a few words, and only a very long text fills one. A block is bounded, nothing is shuffled, and a lost executor costs the rerun of its tasks.
 """
 
 from __future__ import annotations
