@@ -40,7 +40,8 @@ class WordEncoder:
     """The tokenizer of a file, and the ids of pieces of text that it has met, as little-endian 32-bit integers.
 
     The tokenizer drops white space and nothing it does reaches across white space, so a text's ids are those of its
-    pieces between the white space of ASCII. A plain word in a piece goes to the library's model at once, what follows it and
+    pieces between the white space of ASCII. What looks like a special token is ordinary text, unlike by the library's default
+    (``encode_special_tokens`` is set): a document can't write an end id, which stands only where a document ends. A plain word in a piece goes to the library's model at once, what follows it and
     all other pieces through the whole tokenizer.
     """
 
