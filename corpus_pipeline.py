@@ -46,7 +46,7 @@ STAGES = [
     ("byte_bpe", byte_bpe_stage),
 ]
 
-#: A trained classifier and 64-bit XXH64 fingerprints are beyond SQL; the tests hold the rows against brute force.
+#: A trained classifier and 64-bit XXH64 fingerprints are beyond SQL. The tests hold each operator against brute force, one by one, and ``run`` by its stages.
 ORACLE_SQL = None
 
 
