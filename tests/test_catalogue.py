@@ -1,6 +1,10 @@
 """Every registered query of the library over the smallest tables, against its SQL in DuckDB."""
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -37,8 +41,25 @@ def test_doubles_print_as_in_python(spark):
     assert all(r.printed == str(r.value) for r in rows)
 
 
-def test_entry_without_extras(spark):
+def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
+
+
+def test_entry_without_extras(tmp_path):
+    """A copy of the repository without the optional folders has all other queries, their SQL and the flagship query."""
+    copy = tmp_path / "copy"
+    shutil.copytree(Path(__file__).resolve().parent.parent, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
+    code = """
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+from spindrift.catalogue import ORACLES, QUERIES
+assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLES)
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert e.entry(spark).count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True, timeout=300, check=False)
+    assert done.returncode == 0, done.stderr[-2000:]
