@@ -13,7 +13,7 @@ from spindrift.operators.transform import Rules, cache_key, complete_once, parse
 from spindrift.plans.resilience import Backoff, recovery_action, trace
 from spindrift.plans.runner import counts
 from spindrift.sources import readers
-from spindrift.spec import EvaluateSpec, Format, Gate, ScorerSpec, TransformSpec
+from spindrift.spec import EvaluateSpec, ExtractSpec, Format, Gate, ScorerSpec, TransformSpec
 from spindrift.staging import new_path, staged
 
 QUERIES: dict = {}
@@ -116,6 +116,17 @@ def extract_sql_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.query(spark, "SELECT n_name, count(*) AS orders, sum(o_totalprice) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 
 
+@query("""SELECT 'record' AS kind, (row_number() OVER () - 1)::VARCHAR AS value FROM documents JOIN labels USING (doc_id)
+  UNION ALL SELECT 'document', doc_id::VARCHAR FROM documents JOIN labels USING (doc_id)""")
+def extract_sql_join_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of wide rows that come out of a sort-merge join: each has an id of its own, from 0 without gaps."""
+    for name in ("documents", "labels"):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    found = readers.extract(spark, ExtractSpec("-", query="SELECT /*+ MERGE(l) */ d.*, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id"))
+    both = F.array(F.struct(F.lit("record").alias("kind"), F.col("__record_id").alias("value")), F.struct(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("value")))
+    return found.select(F.explode(both).alias("x")).select("x.*")
+
+
 @query("""SELECT c_custkey, c_name, count(*) OVER () AS total, true AS has_more, '60' AS next_cursor FROM customer
   QUALIFY row_number() OVER (ORDER BY c_custkey) BETWEEN 41 AND 60""")
 def extract_page(spark: SparkSession, sf_dir: str) -> DataFrame:

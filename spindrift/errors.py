@@ -37,6 +37,10 @@ class ConnectorError(SpindriftError):
     """A connector is unknown or can't be set up."""
 
 
+class RetryableError(SpindriftError):
+    """A failure that another attempt may mend."""
+
+
 class DeadlineError(SpindriftError):
     """A call or stage took longer than it may."""
 

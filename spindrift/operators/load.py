@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spindrift.errors import LoadError
 from spindrift.operators.evaluate import score_column
@@ -111,30 +112,59 @@ def _replaced(rows: DataFrame, path: str, kind: Format, single_file: bool) -> in
     if single_file:
         part = next(f.getPath() for f in fs.listStatus(source) if f.getPath().getName().startswith("part-"))
         source = part
-    fs.delete(fs_path(path), True)
-    parent = fs_path(path).getParent()
-    if parent is not None:
-        fs.mkdirs(parent)
-    if not fs.rename(source, fs_path(path)):
+    target, aside = fs_path(path), fs_path(f"{path.rstrip('/')}.old")
+    if target.getParent() is not None:
+        fs.mkdirs(target.getParent())
+    # What was there is moved aside and deleted last: at no moment are both versions gone.
+    held = fs.exists(target)
+    if held:
+        fs.delete(aside, True)
+        if not fs.rename(target, aside):
+            raise LoadError(f"{path} can't be moved aside")
+    if not fs.rename(source, target):
+        if held:
+            fs.rename(aside, target)
         raise LoadError(f"{beside} can't be moved to {path}")
+    if held:
+        fs.delete(aside, True)
     if single_file:
         fs.delete(fs_path(beside), True)
     return n
 
 
 def _read_back(spark: SparkSession, path: str, kind: Format, rows: DataFrame) -> DataFrame:
-    """What a path holds, by the schema of what is to join it; other names, another order or other types are an error."""
+    """What a path holds, by the schema of what is to join it; other names, another order or values that don't fit its types are an error.
+
+    The names of JSON columns have no order. Text files hold no types, so every value is read by the new rows' type, and one that can't
+    be is an error, never a null. JSON tells text from numbers, so a text column joins no numbers there.
+    """
     if kind == Format.PARQUET:
         held = spark.read.parquet(path)
-    elif kind == Format.CSV:
-        names = spark.read.options(header=True, escape='"', multiLine=True).csv(path).columns
-        held = spark.read.options(header=True, escape='"', multiLine=True).schema(rows.schema).csv(path) if names == rows.columns else spark.read.options(header=True).csv(path)
+        if held.dtypes != rows.dtypes:
+            raise LoadError(f"{path} has other columns: {held.dtypes} and not {rows.dtypes}")
+        return held
+    if kind == Format.CSV:
+        reader = spark.read.options(header=True, escape='"', multiLine=True)
+        names = reader.csv(path).columns
+        if names != rows.columns:
+            raise LoadError(f"{path} has other columns: {names} and not {rows.columns}")
     else:
         reader = spark.read.option("multiLine", kind == Format.JSON and not _is_folder(spark, path))
-        held = reader.json(path) if set(reader.json(path).columns) != set(rows.columns) else reader.schema(rows.schema).json(path)
-    if held.dtypes != rows.dtypes:
-        raise LoadError(f"{path} has other columns: {held.dtypes} and not {rows.dtypes}")
-    return held
+        found = dict(reader.json(path).dtypes)
+        if set(found) != set(rows.columns):
+            raise LoadError(f"{path} has other columns: {list(found)} and not {rows.columns}")
+        # An inferred text fits dates and the like; whether it does is told by reading it.
+        odd = [c for c, t in rows.dtypes if t == "string" and found[c] in ("bigint", "double", "boolean")]
+        if odd:
+            raise LoadError(f"{path} has other types: {[(c, found[c]) for c in odd]} and not string")
+    bad = "__unfit"
+    fields = [T.StructField(f.name, f.dataType, True) for f in rows.schema]
+    told = reader.option("columnNameOfCorruptRecord", bad).schema(T.StructType([*fields, T.StructField(bad, T.StringType())]))
+    held = told.csv(path) if kind == Format.CSV else told.json(path)
+    unfit = held.where(F.col(bad).isNotNull()).head(1)
+    if unfit:
+        raise LoadError(f"{path} holds rows that don't fit {rows.dtypes}, as {unfit[0][bad]!r}")
+    return held.drop(bad)
 
 
 def to_database(rows: DataFrame, url: str, table: str, **options: str) -> None:

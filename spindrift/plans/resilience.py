@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spindrift.errors import DeadlineError, SpindriftError
+from spindrift.errors import DeadlineError, RetryableError, SpindriftError
 
 CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
 
@@ -25,7 +25,7 @@ class Backoff:
     initial: float = 1.0
     base: float = 2.0
     longest: float = 60.0
-    on: tuple[type[BaseException], ...] = (Exception,)
+    on: tuple[type[BaseException], ...] = (RetryableError, TimeoutError)
 
     def wait(self, attempt: int) -> float:
         return min(self.initial * self.base**attempt, self.longest)
@@ -83,7 +83,7 @@ class Breaker:
     failures: int = 5
     seconds: float = 60.0
     successes: int = 3
-    probes: int = 1
+    probes: int = 3
     excluded: tuple[type[BaseException], ...] = ()
     clock: Callable[[], float] = time.monotonic
     state: str = CLOSED

@@ -5,16 +5,18 @@ Engine columns carry the prefix ``__`` while rows are under way, so no source co
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spindrift.errors import ConnectorError, ExtractError
 from spindrift.spec import ExtractSpec, Format, Status, resolve_format
+from spindrift.staging import staged
 
 
 def read(spark: SparkSession, path: str, kind: Format) -> DataFrame:
@@ -37,30 +39,39 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _json(spark: SparkSession, path: str) -> DataFrame:
-    return _in_order(spark.read.option("multiLine", True).json(path), path, True)
+    return _in_order(spark.read.option("multiLine", True).json(path), path)
 
 
 def _jsonl(spark: SparkSession, path: str) -> DataFrame:
-    return _in_order(spark.read.json(path), path, False)
+    return _in_order(spark.read.json(path), path)
 
 
-def _in_order(df: DataFrame, path: str, whole: bool) -> DataFrame:
-    """The columns in the order in which the first object has them, then any others."""
-    spark = df.sparkSession
-    first = spark.read.text(path, wholetext=whole).first()
-    if first is None:
-        return df
-    keys = spark.range(1).select(F.json_object_keys(F.lit(re.sub(r"^\s*\[\s*|\s*\]\s*$", "", first[0]) if not whole else _first_object(first[0])))).first()[0] or []
-    return df.select(*[F.col(f"`{c}`") for c in [*[k for k in keys if k in df.columns], *[c for c in df.columns if c not in keys]]])
-
+#: Bytes of a JSON source that are read to learn the order of its columns.
+HEAD_BYTES = 1 << 20
 
-def _first_object(text: str) -> str:
-    import json
 
+def _in_order(df: DataFrame, path: str) -> DataFrame:
+    """The columns in the order in which the first object has them, then any others; as inferred if that object is larger than ``HEAD_BYTES``."""
+    files = df.inputFiles()
+    text = _head(df.sparkSession, min(files)).lstrip("\ufeff \t\r\n[") if files else ""
     try:
-        return json.dumps(json.JSONDecoder().raw_decode(text.lstrip().removeprefix("[").lstrip())[0])
+        keys = list(json.JSONDecoder().raw_decode(text)[0]) if text.startswith("{") else []
     except ValueError:
-        return "{}"
+        keys = []
+    return df.select(*[F.col(f"`{c}`") for c in [*[k for k in keys if k in df.columns], *[c for c in df.columns if c not in keys]]])
+
+
+def _head(spark: SparkSession, path: str) -> str:
+    """The first ``HEAD_BYTES`` of a file, unpacked if its name says that it is packed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file)
+    opened = file.getFileSystem(conf).open(file)
+    try:
+        source = codec.createInputStream(opened) if codec else opened
+        return bytes(source.readNBytes(HEAD_BYTES)).decode("utf-8", "ignore")
+    finally:
+        opened.close()
 
 
 def _parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -70,20 +81,48 @@ def _parquet(spark: SparkSession, path: str) -> DataFrame:
 _READERS: dict[Format, Callable[[SparkSession, str], DataFrame]] = {Format.CSV: _csv, Format.JSON: _json, Format.JSONL: _jsonl, Format.PARQUET: _parquet}
 
 
+#: Rows of the table of first places that are broadcast, one a file or split of some 16 bytes; a larger table is joined as Spark sees fit.
+MOST_BROADCAST = 1_000_000
+
+
 def numbered(df: DataFrame, name: str = "__row_index") -> DataFrame:
-    """``df`` with each row's place from 0, in the order of the source's splits, without a sort or a single partition.
+    """``df`` with each row's place from 0, in the order of the source's files and splits, without a sort or a single partition.
 
-    Spark's own increasing ids hold the partition and the place within it; the partitions' counts, one row for each, give the
-    partitions' first places.
+    Rows of Parquet files are placed by their index in the file and the files' row counts. Other plain sources are placed by
+    split, which depends on nothing but the files. Rows that come out of a join or another shuffle lie elsewhere each
+    time the plan runs, so they are written to the shared folder first and numbered there.
     """
-    marked = df.withColumn("__mono", F.monotonically_increasing_id())
-    part = F.shiftright("__mono", 33)
-    first, so_far = {}, 0
-    for row in sorted(marked.groupBy(part.alias("p")).count().collect()):
-        first[row.p] = so_far
-        so_far += row["count"]
-    starts = F.create_map(*[F.lit(x).cast("long") for pair in first.items() for x in pair]) if first else F.lit(None).cast("map<bigint,bigint>")
-    return marked.withColumn(name, starts[part] + F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1))).drop("__mono")
+    nodes, parquet = _plan_of(df)
+    if not nodes <= {"Project", "SubqueryAlias", "LogicalRelation", "LocalRelation", "LogicalRDD", "Range"}:
+        typed = df.withColumns({f.name: F.col(f"`{f.name}`").cast("string") for f in df.schema if isinstance(f.dataType, T.NullType)})
+        return numbered(staged(typed, "numbered"), name)
+    if parquet:
+        marked = df.withColumns({"__file": F.col("_metadata.file_path"), "__in_file": F.col("_metadata.row_index")})
+        order = [F.length("part"), F.col("part")]
+    else:
+        mono = F.monotonically_increasing_id()
+        marked = df.withColumn("__mono", mono).withColumns({"__file": F.shiftright("__mono", 33), "__in_file": F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__mono")
+        order = [F.col("part")]
+    counts = marked.groupBy(F.col("__file").alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    first = F.coalesce(F.sum("rows").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = staged(counts.select(F.xxhash64("part").alias("__at"), first.alias("__first")), "first-places")
+    starts = F.broadcast(starts) if starts.count() <= MOST_BROADCAST else starts
+    joined = marked.withColumn("__at", F.xxhash64("__file")).join(starts, "__at")
+    return joined.withColumn(name, F.col("__first") + F.col("__in_file")).drop("__at", "__file", "__in_file", "__first")
+
+
+def _plan_of(df: DataFrame) -> tuple[set[str], bool]:
+    """The kinds of nodes in a plan, and whether its one relation is read from Parquet files."""
+    nodes, todo, parquet = set(), [df._jdf.queryExecution().analyzed()], False
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        nodes.add(kind)
+        if kind == "LogicalRelation":
+            parquet = node.relation().toString() == "parquet"
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return nodes, parquet
 
 
 def as_records(df: DataFrame, source: str, kind: str) -> DataFrame:

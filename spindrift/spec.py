@@ -220,8 +220,12 @@ def from_file(path: str | Path) -> PipelineSpec:
 
 
 def is_valid(path: str | Path) -> bool:
-    """True for a good pipeline file; the error says what is wrong with another."""
-    return from_file(path) is not None
+    """Whether a path leads to a good pipeline file; ``from_file`` says what is wrong with another."""
+    try:
+        from_file(path)
+    except ConfigurationError:
+        return False
+    return True
 
 
 def resolve_format(explicit: str | Format | None, path: str, what: str) -> Format:

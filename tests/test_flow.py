@@ -166,6 +166,52 @@ def test_writers(spark, tmp_path, kind, single):
     assert out.write(rows, path, kind, "overwrite", single) == 2
 
 
+@pytest.mark.parametrize("kind", [Format.CSV, Format.JSON, Format.JSONL])
+@pytest.mark.parametrize("single", [False, True])
+def test_append_of_other_types_changes_nothing(spark, tmp_path, kind, single):
+    path = tmp_path / f"out.{kind}"
+    out.write(spark.createDataFrame([("rec_001", 1.5), ("rec_002", None)], "id string, x double"), str(path), kind, "overwrite", single)
+    held = {f.name: f.read_bytes() for f in ([path] if single else sorted(path.iterdir()))}
+    other = [spark.createDataFrame([(3, 2.5)], "id long, x double")]
+    if kind != Format.CSV:
+        other.append(spark.createDataFrame([("rec_003", "2.5")], "id string, x string"))
+    for rows in other:
+        for mode in ("append", "upsert"):
+            with pytest.raises(LoadError):
+                out.write(rows, str(path), kind, mode, single, key="id")
+        assert {f.name: f.read_bytes() for f in ([path] if single else sorted(path.iterdir()))} == held
+    assert out.write(spark.createDataFrame([("rec_003", 2.5)], "id string, x double"), str(path), kind, "append", single) == 1
+    back = readers.read(spark, str(path), kind) if single or kind != Format.JSON else spark.read.json(str(path))
+    assert {r.id: r.x for r in back.collect()} == {"rec_001": 1.5, "rec_002": None, "rec_003": 2.5}
+
+
+@pytest.mark.parametrize("size", ["1k", "64k", "64m"])
+def test_records_of_a_join(spark, tmp_path, size):
+    """Ids are whole and unique however Spark cuts the join's partitions."""
+    spark.range(5000).select("id", F.repeat(F.lit("x"), 200).alias("wide")).write.parquet(str(tmp_path / "a"))
+    spark.range(3000).select("id", (F.col("id") % 7).alias("k")).write.parquet(str(tmp_path / "b"))
+    for name in "ab":
+        spark.read.parquet(str(tmp_path / name)).createOrReplaceTempView(f"joined_{name}")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    try:
+        found = readers.extract(spark, ExtractSpec("-", query="SELECT /*+ MERGE(b) */ a.*, b.k, NULL AS nothing FROM joined_a a JOIN joined_b b ON a.id = b.id"))
+        assert sorted(int(r[0]) for r in found.select("__record_id").collect()) == list(range(3000))
+        slim = found.select("__row_index", "k").collect()
+        whole = {r["__row_index"]: r["k"] for r in found.collect()}
+        assert all(whole[r["__row_index"]] == r["k"] for r in slim)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_order_of_json_columns(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n{"z": 1, "a": {"q": [1, 2]}, "M": "x"}, {"b": 2}]')
+    (tmp_path / "b.jsonl").write_text('{"z": 1, "a": 2}\n{"M": 3}\n')
+    (tmp_path / "c.json").write_text("[]")
+    assert readers.read(spark, str(tmp_path / "a.json"), Format.JSON).columns == ["z", "a", "M", "b"]
+    assert readers.read(spark, str(tmp_path / "b.jsonl"), Format.JSONL).columns == ["z", "a", "M"]
+    assert readers.read(spark, str(tmp_path / "c.json"), Format.JSON).count() == 0
+
+
 def test_nothing_to_load_touches_nothing(spark, tmp_path):
     path = tmp_path / "none.csv"
     assert out.load(scored(spark).where("t = 'b'"), LoadSpec(str(path), mode="overwrite"), EvaluateSpec(SCORERS)) == 0

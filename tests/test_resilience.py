@@ -2,7 +2,7 @@ import asyncio
 
 import pytest
 
-from spindrift.errors import DeadlineError
+from spindrift.errors import DeadlineError, RetryableError
 from spindrift.plans.resilience import Backoff, Breaker, CircuitOpenError, breaker, breakers, retried, trace, within_growing_time
 
 
@@ -24,10 +24,16 @@ def failing(times, error=ValueError):
 
 def test_retry():
     no_wait.waits = []
-    assert asyncio.run(retried(failing(2), Backoff(3, 1, 2, 60), sleep=no_wait)) == "yes"
-    assert no_wait.waits == [1, 2]
-    with pytest.raises(ValueError):
-        asyncio.run(retried(failing(3), Backoff(3), sleep=no_wait))
+    for error in (RetryableError, TimeoutError):
+        no_wait.waits = []
+        assert asyncio.run(retried(failing(2, error), Backoff(3, 1, 2, 60), sleep=no_wait)) == "yes"
+        assert no_wait.waits == [1, 2]
+        with pytest.raises(error):
+            asyncio.run(retried(failing(3, error), Backoff(3), sleep=no_wait))
+    no_wait.waits = []
+    with pytest.raises(ValueError):  # not listed, so it comes through at once
+        asyncio.run(retried(failing(1), Backoff(3), sleep=no_wait))
+    assert no_wait.waits == []
     with pytest.raises(KeyError):
         asyncio.run(retried(failing(1, KeyError), Backoff(3, on=(ValueError,)), sleep=no_wait))
     with pytest.raises(RuntimeError):
@@ -45,7 +51,7 @@ def test_breaker_walks_through_its_states():
 
 def test_breaker_probes_and_counts():
     now = [0.0]
-    b = Breaker("x", failures=1, seconds=5, successes=1, excluded=(KeyError,), clock=lambda: now[0])
+    b = Breaker("x", failures=1, seconds=5, successes=1, probes=1, excluded=(KeyError,), clock=lambda: now[0])
 
     async def ask(error=None, wait=0.0):
         async def call():
@@ -72,6 +78,7 @@ def test_breaker_probes_and_counts():
     one, other = asyncio.run(two())
     assert one == 1 and isinstance(other, CircuitOpenError) and b.state == "closed" and b.probing == 0
     b.reset()
+    assert Breaker("z").probes == 3
     assert breaker("y", failures=2) is breaker("y") and "y" in breakers()
 
 

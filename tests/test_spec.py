@@ -76,6 +76,8 @@ def test_files(tmp_path):
         (tmp_path / name).write_text(text)
         with pytest.raises(ConfigurationError):
             from_file(tmp_path / name)
+        assert is_valid(tmp_path / name) is False
+    assert is_valid(tmp_path / "none.yaml") is False
     with pytest.raises(ConfigurationError):
         from_file(tmp_path / "none.yaml")
 
