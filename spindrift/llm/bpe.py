@@ -5,8 +5,9 @@ joins to the positions where the pair stands. The ranks are replayed in ascendin
 lowest rank merge, left to right, and only the two neighbours that a merge touches get new entries. Each word thus goes
 through exactly the merges that a word-by-word encoder would apply.
 
-The words of a block are the distinct words of one text that its task does not remember, at most ``WORDS_IN_BLOCK`` of them. So once a task
-remembers the common words a block is a few words, and only a very long text fills one. A block is bounded, nothing is shuffled, and a lost executor costs the rerun of its tasks.
+A task reads its documents as numbers of distinct words and puts off encoding until ``BLOCK_AT_LEAST`` words are new to it, or ``HELD``
+occurrences wait, or its rows are over. So a block spans many documents, and is smaller only where so many documents hold no more new words. What waits is bounded,
+nothing is shuffled, and a lost executor costs the rerun of its tasks.
 """
 
 from __future__ import annotations
@@ -16,20 +17,28 @@ import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.arrays import values
+#: Distinct words that a task remembers, and their characters.
+WORDS_KEPT, CHARACTERS_KEPT = 600_000, 16_000_000
+#: Words encoded as one block: the most, and the new ones that are waited for.
+WORDS_IN_BLOCK, BLOCK_AT_LEAST = 50_000, 20_000
+#: Occurrences of words that may wait, four bytes each, and rows given on at once.
+HELD, ROWS = 8_000_000, 64
 
-#: Distinct words that a task remembers, and the longest that it remembers, in characters.
-WORDS_KEPT = 600_000
-LONGEST_KEPT = 64
-#: Words encoded as one block.
-WORDS_IN_BLOCK = 50_000
+
+class Numbers(dict):
+    """A number for each word, in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = len(self)
+        return len(self) - 1
 
 
 class Vocabulary:
@@ -39,9 +48,8 @@ class Vocabulary:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.texts = {rank: str(rank) for rank in self.tokens}
         self.split = regex.compile(pattern).findall
-        self.ids: dict[str, tuple[int, ...]] = {}
+        self.forget()
         # A pair of ranks is one number, in a base whose last digit no rank uses: so a pair with -1 on its right is never a key.
         self.base = max(self.tokens, default=0) + 2
         self.single = {byte: self.ranks[bytes([byte])] for byte in range(256)} | {None: -1}
@@ -89,23 +97,35 @@ class Vocabulary:
             at = end + 1
         return out
 
-    def encode_all(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
-        """Ids of each text; a null text has none."""
-        for text in texts:
-            words = self.split(text or "")
-            new = {w for w in words if w not in self.ids}
-            if new:
-                if len(self.ids) + len(new) > WORDS_KEPT:
-                    self.ids.clear()
-                    new = set(words)
-                fresh = list(new)
-                for i in range(0, len(fresh), WORDS_IN_BLOCK):
-                    block = fresh[i : i + WORDS_IN_BLOCK]
-                    self.ids.update(zip(block, self.encode_block([w.encode() for w in block]), strict=True))
-            yield list(chain.from_iterable(map(self.ids.__getitem__, words)))
-            for word in new:
-                if len(word) > LONGEST_KEPT:
-                    del self.ids[word]
+    def forget(self) -> None:
+        self.number = Numbers()
+        self.ids: list[tuple[int, ...]] = []  # by a word's number
+        self.spelt: list[str] = []  # the same as decimal numbers joined by commas
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        """The numbers of a text's words; a null text has none."""
+        words = self.split(text or "")
+        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int32, count=len(words))
+
+    def learn(self) -> None:
+        """Encode the words that have a number and no ids yet."""
+        fresh = list(islice(self.number, len(self.ids), None))
+        for at in range(0, len(fresh), WORDS_IN_BLOCK):
+            block = self.encode_block([w.encode() for w in fresh[at : at + WORDS_IN_BLOCK]])
+            self.ids += block
+            self.spelt += [",".join(map(str, ids)) for ids in block]
+
+    def ids_of(self, numbers: np.ndarray) -> list[int]:
+        return list(chain.from_iterable(map(self.ids.__getitem__, numbers.tolist())))
+
+    def spelt_of(self, numbers: np.ndarray) -> str:
+        return ",".join(map(self.spelt.__getitem__, numbers.tolist()))
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[list[int]]:
+        """Ids of each text, all texts being one corpus; a null text has none."""
+        waiting = [self.numbers(t) for t in texts]
+        self.learn()
+        return [self.ids_of(n) for n in waiting]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -127,7 +147,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
-        for ids, rows in _encoded(batches, words):
+        for ids, waiting in encoded(batches, words):
+            rows = [words.ids_of(n) for n in waiting]
             yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.list_(pa.int32())), pa.array(map(words.decode, rows), pa.binary())], names=["id", "ids", "decoded"])
 
     return _over(docs, of, "ids array<int>, decoded binary", id_col, text_col)
@@ -141,22 +162,40 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
-        texts = words.texts.__getitem__
-        for ids, rows in _encoded(batches, words):
-            counts = pa.array(map(len, rows), pa.int64())
-            of_ids = pa.array([hashlib.sha256(",".join(map(texts, r)).encode()).hexdigest() for r in rows], pa.string())
-            of_bytes = pa.array([hashlib.sha256(words.decode(r)).hexdigest() for r in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([ids, counts, of_ids, of_bytes], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for ids, waiting in encoded(batches, words):
+            counts, of_ids, of_bytes = [], [], []
+            for numbers in waiting:
+                row = words.ids_of(numbers)
+                counts.append(len(row))
+                of_ids.append(hashlib.sha256(words.spelt_of(numbers).encode()).hexdigest())
+                of_bytes.append(hashlib.sha256(words.decode(row)).hexdigest())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _over(docs, of, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], words: Vocabulary) -> Iterator[tuple[pa.Array, list[list[int]]]]:
+def encoded(batches: Iterator[pa.RecordBatch], words: Vocabulary) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Some rows' ids with the numbers of their texts' words, which are all encoded by then."""
+    waiting: list[tuple[pa.Array, list[np.ndarray]]] = []
+    held = 0
     for batch in batches:
-        encoded = words.encode_all(values(batch.column(1)))
-        for at in range(0, batch.num_rows, 64):
-            ids = batch.column(0).slice(at, 64)
-            yield ids, [next(encoded) for _ in range(len(ids))]
+        for at in range(0, batch.num_rows, ROWS):
+            some = batch.slice(at, ROWS)
+            numbers = [words.numbers(t) for t in some.column(1).to_pylist()]
+            waiting.append((some.column(0), numbers))
+            held += sum(map(len, numbers))
+            if held >= HELD or len(words.number) - len(words.ids) >= BLOCK_AT_LEAST:
+                yield from _given(words, waiting)
+                held = 0
+    yield from _given(words, waiting)
+
+
+def _given(words: Vocabulary, waiting: list[tuple[pa.Array, list[np.ndarray]]]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    words.learn()
+    while waiting:
+        yield waiting.pop(0)
+    if len(words.number) > WORDS_KEPT or sum(map(len, words.number)) > CHARACTERS_KEPT:
+        words.forget()
 
 
 def _over(docs: DataFrame, of, columns: str, id_col: str, text_col: str) -> DataFrame:
