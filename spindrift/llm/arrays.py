@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Rows turned into Python objects at once, so that memory follows a few texts and not a whole batch.
@@ -19,6 +20,19 @@ def values(column: pa.Array) -> Iterator:
         yield from column.slice(at, ROWS_AT_ONCE).to_pylist()
 
 
+def cut_by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts in a column hold ``most`` bytes together, or are one row."""
+    if not batch.num_rows:
+        return
+    texts = batch.column(column)
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
+    at, before = 0, 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at, before = end, int(ends[end - 1])
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables cut between groups, from batches sorted by ``keys``: no group spans two tables."""
     held: list[pa.RecordBatch] = []

@@ -7,18 +7,18 @@ places of all documents without touching their ids.
 
 from __future__ import annotations
 
-import re
-import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.arrays import ROWS_AT_ONCE, values
+from spindrift.llm.arrays import cut_by_bytes
 from spindrift.staging import new_path
 
 #: Bytes of a row group and of a page, and rows of a page, in the files.
@@ -27,22 +27,24 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 #: Bytes of text that a partition should hold before it is encoded.
 PARTITION_BYTES = 32 << 20
-#: Distinct words that a task remembers.
-WORDS_KEPT = 400_000
+SEED = 3
+#: Distinct pieces that a task remembers, and their ids.
+PIECES_KEPT, IDS_KEPT = 400_000, 8_000_000
+#: Bytes of text that are split at once, and pieces whose ids are laid out at once.
+TEXT_BYTES, PIECES_AT_ONCE = 4 << 20, 1 << 18
 
-
-#: Words whose normal form is themselves and which are one word to the tokenizer, and the marks that may follow one.
-PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
-MARKS = ".,;:!?"
+#: Letters whose lower case is one letter and its normal form, so that a run of them is one word to the tokenizer, and the marks that may follow one.
+LETTERS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", ".,;:!?"
+PLAIN = f"^[{LETTERS}]+[{MARKS}]*$"
 
 
 class WordEncoder:
-    """The tokenizer of a file, and the ids of pieces of text that it has met, as little-endian 32-bit integers.
+    """The tokenizer of a file, and the ids of the pieces of text that it has met.
 
     The tokenizer drops white space and nothing it does reaches across white space, so a text's ids are those of its
-    pieces between the white space of ASCII. What looks like a special token is ordinary text, unlike by the library's default
-    (``encode_special_tokens`` is set): a document can't write an end id, which stands only where a document ends. A plain word in a piece goes to the library's model at once, what follows it and
-    all other pieces through the whole tokenizer.
+    pieces between the white space of ASCII. Special tokens that a text spells out are read as the library does by default: as their ids. Arrow splits
+    a batch of texts, numbers its distinct pieces and parts plain words from the marks behind them; only what is new goes to the tokenizer, a plain word to the
+    library's model at once and all else through the whole tokenizer. The ids of all texts are then gathered as arrays.
     """
 
     def __init__(self, path: str):
@@ -50,49 +52,65 @@ class WordEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         spelt = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = str.maketrans({c: spelt.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))})
-        self.pieces: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def piece(self, piece: bytes) -> bytes:
-        text = piece.decode()
-        lower = text.lower()
-        word = lower.rstrip(MARKS)
-        if not PLAIN.fullmatch(word):
-            return self.whole(text)
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.words[word] = _packed([t.id for t in self.model.tokenize(word.translate(self.letters))])
-        if len(word) == len(lower):
-            return ids
-        marks = lower[len(word) :]
-        if marks not in self.words:
-            self.words[marks] = self.whole(marks)
-        return ids + self.words[marks]
-
-    def encode(self, texts: Iterator[str | None], end_id: int | None) -> Iterator[bytes]:
-        """Ids of each text, with ``end_id`` at the end."""
-        end = b"" if end_id is None else _packed([end_id])
-        known = self.pieces
-        for text in texts:
-            pieces = (text or "").encode().split()
-            if len(known) > WORDS_KEPT:
-                known.clear()
-            if len(self.words) > WORDS_KEPT:
-                self.words.clear()
-            for piece in set(pieces).difference(known):
-                known[piece] = self.piece(piece)
-            yield b"".join(map(known.__getitem__, pieces)) + end
-
-
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}i", *ids)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.ends = array("i"), array("q", [0])  # of each number the ids, and where they end
+
+    def plain(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def numbers(self, pieces: pa.Array, ids_of: Callable[[str], list[int]]) -> np.ndarray:
+        """The pieces' numbers; each that was not met before is encoded."""
+        told = pieces.dictionary_encode()
+        names, known = told.dictionary.to_pylist(), self.number
+        for name in names:
+            if name not in known:
+                known[name] = len(known)
+                self.ids.extend(ids_of(name))
+                self.ends.append(len(self.ids))
+        return np.fromiter(map(known.__getitem__, names), dtype=np.int64, count=len(names))[np.asarray(told.indices)]
+
+    def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other with ``end_id`` at the end of each, and how many each has; a null text counts as empty."""
+        if len(self.number) > PIECES_KEPT or len(self.ids) > IDS_KEPT:
+            self.forget()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        told = split.flatten().dictionary_encode()
+        # Of each distinct piece the numbers of its word, or of all of it, and of the marks behind the word.
+        plain = pc.match_substring_regex(told.dictionary, PLAIN)
+        lower, at = pc.utf8_lower(told.dictionary.filter(plain)), np.asarray(plain)
+        both = np.empty((len(at), 2), dtype=np.int64)
+        both[at, 0] = self.numbers(pc.utf8_rtrim(lower, characters=MARKS), self.plain)
+        both[at, 1] = self.numbers(pc.replace_substring_regex(lower, f"^[{LETTERS}]+", ""), self.whole)
+        both[~at, 0] = self.numbers(told.dictionary.filter(pc.invert(plain)), self.whole)
+        both[~at, 1] = self.numbers(pa.array([""], pa.large_string()), self.whole)[0]
+        ids, ends = np.frombuffer(self.ids, dtype=np.int32), np.frombuffer(self.ends, dtype=np.int64)
+        each = (ends[1:] - ends[:-1])[both]
+        flat, sizes = gathered(ids, ends[both].ravel(), each.ravel()), each.sum(axis=1)
+        # And of the texts.
+        of = np.asarray(told.indices)
+        flat = gathered(flat, (np.cumsum(sizes) - sizes)[of], sizes[of])
+        bounds = np.asarray(split.offsets, dtype=np.int64)
+        after = np.append(0, np.cumsum(sizes[of]))[bounds[1:] - bounds[0]]
+        counts = np.diff(after, prepend=0)
+        return (flat, counts) if end_id is None else (np.insert(flat, after, end_id), counts + 1)
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of ``values``, one after the other."""
+    out = [values[:0]]
+    for at in range(0, len(starts), PIECES_AT_ONCE):
+        some = sizes[at : at + PIECES_AT_ONCE]
+        out.append(values[np.repeat(starts[at : at + PIECES_AT_ONCE] - np.cumsum(some) + some, some) + np.arange(some.sum())])
+    return np.concatenate(out)
 
 
 @lru_cache(maxsize=2)
@@ -104,25 +122,23 @@ def word_encoder(path: str) -> WordEncoder:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text and write the files of ``read_tokens`` to ``path``.
 
-    Rows are dealt by ranges of their id, which is in proportion to the texts and not to the ids' frequency: rows
-    with equal ids are told apart by their text's hash. Null ids come first. A null text counts as empty and has only the end id.
+    Rows are dealt by ranges of their id. Rows with equal ids are told apart by their text's hash, and equal rows, which are interchangeable, by
+    a random number, so that no id and no row fills a partition however often it comes. Null ids come first. A null text counts as empty and
+    has only the end id.
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(1, round(size / PARTITION_BYTES))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    order = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc()]
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc(), F.rand(SEED).asc()]
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = 0
+        start, encoder = 0, word_encoder(tokenizer_path)
         for batch in batches:
-            encoded = word_encoder(tokenizer_path).encode(values(batch.column(1)), end_id)
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                some = batch.slice(at, ROWS_AT_ONCE)
-                each = [next(encoded) for _ in range(some.num_rows)]
-                counts = np.array([len(x) // 4 for x in each], dtype=np.int64)
+            for some in cut_by_bytes(batch, 1, TEXT_BYTES):
+                flat, counts = encoder.encode(some.column(1), end_id)
                 ends = np.cumsum(counts)
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.frombuffer(b"".join(each), dtype="<i4")))
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(start + ends - counts), pa.array(counts), ids], names=["id", "part", "offset", "n_tokens", "ids"])
                 start += int(ends[-1])
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -14,6 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from spindrift.llm import bpe, mixing, page_text, ring, token_files, toxicity
+from spindrift.llm.arrays import cut_by_bytes
 from spindrift.llm.page_blocks import blocks
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
@@ -35,7 +37,8 @@ def reference(vocabulary):
 def test_bpe_like_the_library(text):
     v = bpe.vocabulary(RANKS, public_tokenizers.PATTERN)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
-    (ids,) = v.encode_all([text])
+    (ids, none) = v.encode_all([text, None])
+    assert none == []
     assert ids == library.encode_ordinary(text) and v.decode(ids) == text.encode()
 
 
@@ -49,24 +52,50 @@ def test_bpe_over_a_table(spark, reference):
     assert bpe.encode_digests(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_bpe_forgets_words(vocabulary, reference, monkeypatch):
+def test_bpe_forgets_words(reference, monkeypatch):
+    vocabulary = bpe.Vocabulary(RANKS, public_tokenizers.PATTERN)
     monkeypatch.setattr(bpe, "WORDS_KEPT", 5)
-    texts = ["one two three four", "five six seven one", "x" * 100 + " two"]
-    assert list(vocabulary.encode_all(texts)) == [reference.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(bpe, "BLOCK_AT_LEAST", 3)
+    monkeypatch.setattr(bpe, "ROWS", 1)
+    texts = ["one two three four", "five six seven one", "", None, "x" * 100 + " two"]
+    batch = pa.record_batch([pa.array(range(5)), pa.array(texts)], names=["id", "text"])
+    got = {i: vocabulary.ids_of(n) for ids, rows in bpe.encoded(iter([batch]), vocabulary) for i, n in zip(ids.to_pylist(), rows, strict=True)}
+    assert got == {i: reference.encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
+def test_bpe_blocks_span_documents(monkeypatch):
+    """Wherever the rows have so many new words, a block has at least ten thousand, over many documents."""
+    vocabulary, sizes = bpe.Vocabulary(RANKS, public_tokenizers.PATTERN), []
+    whole = vocabulary.encode_block
+    monkeypatch.setattr(vocabulary, "encode_block", lambda words: sizes.append(len(words)) or whole(words))
+    spelt = lambda n: "w" + "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    texts = [" ".join(spelt((i * 13 + j) % 70_000) for j in range(30)) for i in range(6_000)]
+    batches = [pa.record_batch([pa.array(range(1000)), pa.array(texts[at : at + 1000])], names=["id", "text"]) for at in range(0, len(texts), 1000)]
+    assert sum(len(rows) for _, rows in bpe.encoded(iter(batches), vocabulary)) == 6_000
+    assert len(sizes) > 2 and min(sizes[:-1]) >= 10_000 and max(sizes) <= bpe.WORDS_IN_BLOCK and sum(sizes) == len(vocabulary.number)
 
 
 @settings(max_examples=200, deadline=None)
-@given(text=st.text(max_size=60) | st.text("aAéÉ.,!' \tz0ßµ", max_size=40))
-def test_words_like_the_library(text):
+@given(texts=st.lists(st.text(max_size=60) | st.text("aAéÉ.,!' \tz0ßµ", max_size=40) | st.sampled_from(["<|endoftext|>", "a<|startoftext|>B <|ENDOFTEXT|>"]), max_size=4))
+def test_words_like_the_library(texts):
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
-    (ids,) = token_files.word_encoder(WORDS).encode([text], None)
-    assert np.frombuffer(ids, "<i4").tolist() == library.encode(text, add_special_tokens=False).ids
+    ids, counts = token_files.word_encoder(WORDS).encode(pa.array([*texts, None], pa.string()), 7)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts))[:-1]] == [[*library.encode(t, add_special_tokens=False).ids, 7] for t in [*texts, ""]]
+
+
+def test_words_forgotten_and_cut(monkeypatch):
+    library, encoder = Tokenizer.from_file(WORDS), token_files.WordEncoder(WORDS)
+    monkeypatch.setattr(token_files, "PIECES_KEPT", 3)
+    monkeypatch.setattr(token_files, "PIECES_AT_ONCE", 2)
+    for text in ("one two three four five", "six one", "", "x" * 500 + " two, two"):
+        ids, _ = encoder.encode(pa.array([text]), None)
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    batch = pa.record_batch([pa.array([1, 2, 3, 4]), pa.array(["aaaa", None, "bbbbbbbb", "c"])], names=["a", "b"])
+    assert [x.column(0).to_pylist() for x in cut_by_bytes(batch, 1, 5)] == [[1, 2], [3], [4]]
 
 
 def test_token_files(spark, tmp_path):
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     rows = [(i, t) for i, t in enumerate(ODD)][::-1]
     docs = spark.createDataFrame([(*x, "q") for x in rows], "doc_id long, text string, start string")
     start, want = 0, []
