@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spindrift.llm import bpe, mixing, page_text, ring, token_files, toxicity
@@ -161,6 +162,18 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[7], [None], [7, 8], list(range(3))])
+def test_mixing_of_repeated_rows(spark, ids):
+    """The budget of a source that is one row, or a few, again and again is met to the document."""
+    ids = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    rows = ids.crossJoin(spark.range(10_000 // ids.count(), numPartitions=5)).select("doc_id", F.lit("two words").alias("text"), F.lit("a").alias("source"), "id")
+    docs = rows.unionByName(spark.range(2500, numPartitions=2).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("b").alias("source"), "id"))
+    got = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n"), F.max(F.expr("taken / size")).alias("times")).collect()
+    assert len(got) == 2 and all(abs(x.taken - x.target) <= x.size / 2 and x.times <= 3 for x in got) and sum(x.n for x in got) == docs.count()
+    copies = mixing.mixed(docs).groupBy("source").count().collect()
+    assert {x.source: x["count"] for x in copies} == {x.source: x.taken // x.size for x in got}
+
+
 def plain_ring(keys, nodes, most):
     """One key after the other in ring order, each walking clockwise from its own node to a shard with room."""
     held, out = Counter(), []
