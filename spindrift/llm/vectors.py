@@ -21,12 +21,13 @@ def longest(df: DataFrame, column: str) -> int:
 
 
 def matrix(lists: pa.Array, width: int) -> np.ndarray:
-    """Rows of doubles from a list array without nulls, filled up with zeros to ``width``."""
+    """Rows of doubles from a list array without nulls, filled up with zeros to ``width``, or if that is negative to the longest."""
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
     offsets = np.asarray(lists.offsets, dtype=np.int64)
     flat = np.asarray(lists.values, dtype=np.float64)[offsets[0] : offsets[-1]] if len(lists) else np.empty(0)
     sizes = np.diff(offsets)
+    width = int(sizes.max(initial=0)) if width < 0 else width
     if len(lists) and (sizes == width).all():
         return flat.reshape(len(lists), width)
     out = np.zeros((len(lists), width))

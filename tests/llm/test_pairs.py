@@ -1,6 +1,7 @@
 """SimHash, vector near-dedup, top-k search, components and line dedup against brute force."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -8,7 +9,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from spindrift.llm.components import connected_components
-from spindrift.llm.exact_topk import best_of_block, exact_top_k
+from spindrift.llm import exact_topk
+from spindrift.llm.exact_topk import Cells, Vectors, best_of_block, distances, exact_top_k, spread
 from spindrift.llm.line_dedup import SHORTEST, dedup_lines
 from spindrift.llm.near_vectors import near_vectors, plan
 from spindrift.llm.simhash import chain_masks, fingerprint, hex16, links, links_within, one_of_each, simhash_groups
@@ -177,21 +179,79 @@ def test_exact_top_k(spark):
     assert exact_top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def as_vectors(rows, pivots):
+    rows = np.asarray(rows, dtype=float)
+    return Vectors(np.arange(len(rows)), rows, np.linalg.norm(rows, axis=1), distances(rows, pivots))
+
+
+def some_of(v, at):
+    return Vectors(*[x[at] for x in v])
+
+
 def test_bounds_eliminate_nothing_that_counts():
     r = np.random.default_rng(9)
     c = r.integers(-200, 200, (6000, 8))
-    q, pivots = c[:5], c[10:14].astype(float)
-    away = np.stack([np.linalg.norm(c - p, axis=1) for p in pivots], axis=1)
-    ids = np.arange(6000)
-    for i, found, scores in best_of_block(ids[:5], q, away[:5], ids, c, away, 20):
-        best = sorted((-int(q[i] @ x), j) for j, x in enumerate(c) if j != i)[:20]
+    all_ = as_vectors(c, c[10:14].astype(float))
+    for i, found, scores, _ in best_of_block(some_of(all_, slice(0, 5)), np.full(5, -np.inf), all_, 20):
+        best = sorted((-int(c[i] @ x), j) for j, x in enumerate(c) if j != i)[:20]
         assert [(-int(s), int(j)) for j, s in zip(found, scores, strict=True)] == best
     big = np.full((40, 2), 2**40)
     big[:, 0] += np.arange(40)
-    (_, found, scores), = best_of_block(ids[:1], big[:1], away[:1], ids[:40], big, away[:40], 3)
+    large = as_vectors(big, big[:2].astype(float))
+    (_, found, scores, _), = best_of_block(some_of(large, slice(0, 1)), np.full(1, -np.inf), large, 3)
     assert found.tolist() == [39, 38, 37] and int(scores[0]) == 2**40 * (2**40 + 39) + 2**80
 
 
+def test_pivots_eliminate_most_of_clustered_vectors():
+    """Of 40 clusters of 500 vectors a query's bounds leave about its own cluster, and whole cells beyond it are never met."""
+    r = np.random.default_rng(12)
+    centres = r.standard_normal((40, 32)) * 64
+    rows = np.floor(np.repeat(centres, 500, axis=0) + r.standard_normal((20_000, 32)) * 4)
+    all_ = as_vectors(rows, spread(rows[r.permutation(20_000)[:1024]], 64))
+    asked = some_of(all_, slice(0, 20_000, 50))
+    least = np.sort(asked.rows @ rows.T, axis=1)[:, -21]
+    seen = [n for *_, n in best_of_block(asked, np.full(400, -np.inf), all_, 20)]
+    assert np.mean(seen) < 0.1 * 20_000
+    cell = np.argmin(all_.away, axis=1)
+    stats = [SimpleNamespace(cell=int(c), n=int((cell == c).sum()), norm=all_.norms[cell == c].max(), size=32, low=all_.away[cell == c].min(axis=0), high=all_.away[cell == c].max(axis=0)) for c in np.unique(cell)]
+    cells = Cells([type("Row", (), {"__getitem__": lambda self, k: getattr(self, k), **vars(x)})() for x in stats])
+    met = cells.reached(asked.norms, asked.away, least)
+    size = np.array([x.n for x in stats])
+    assert (met @ size).mean() < 0.2 * 20_000
+    # and no cell goes that holds one of the best
+    best = np.argsort(-(asked.rows @ rows.T), axis=1, kind="stable")[:, :20]
+    place = {c: i for i, c in enumerate(cells.cells.tolist())}
+    assert all(met[i, place[int(cell[j])]] for i in range(400) for j in best[i])
+
+
+def test_top_k_of_large_numbers(spark):
+    """Scores beyond longs are ranked exactly and shown as null; what no double holds takes no part."""
+    rows = [(0, [1e9, 1.0]), (1, [1e9, 2.0]), (2, [-1e9, 0.0]), (3, [1e18, 1.0]), (4, [1e18, -1e18]), (5, [-1e18, 3.0]), (6, [1.0, 1.0]), (7, [1e308, 0.0]), (8, [1e200, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {i: [int(64 * a) for a in x] for i, x in rows if i != 7}
+    want = []
+    for q in (0, 3, 6, 8):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], x, strict=True)), i) for i, x in ints.items() if i != q)
+        want += [(q, rank, i, -s if -(1 << 63) <= -s < 1 << 63 else None) for rank, (s, i) in enumerate(best, 1)]
+    got = exact_top_k(df, F.col("vec_id").isin(0, 3, 6, 7, 8))
+    assert sorted(((x.query_id, x["rank"], x.vec_id, x.score) for x in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    r = np.random.default_rng(13)
+    m = np.repeat(np.round(r.standard_normal((60, 6)), 2), 12, axis=0).astype(np.float32)  # each vector a dozen times
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)] + [(3, m[3].tolist())] * 90, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(exact_topk, "BLOCK_ROWS", 16)
+    ints = np.floor(64 * m.astype(float)).astype(int)
+    ids, ints = np.append(np.arange(len(m)), [3] * 90), np.vstack([ints, np.repeat(ints[3:4], 90, axis=0)])
+    want = []
+    for q in range(0, len(m), 20):
+        best = sorted((-int(ints[q] @ x), int(i)) for i, x in zip(ids, ints, strict=True) if i != q)[:7]
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    got = exact_top_k(df, F.col("vec_id") % 20 == 0, k=7)
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got.collect()) == want
+
+
 def one_edit(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
