@@ -1,8 +1,13 @@
-"""HTML read as a sequence of leaf blocks: runs of text between block tags, with the elements that stand around them."""
+"""HTML read as a sequence of leaf blocks: runs of text between block tags, with the elements that stand around them.
+
+Reading is a state machine that moves on through the page and never goes back, and each open element is one node that knows its parent, so time
+and memory follow the length of the page, whatever is left open or unclosed in it.
+"""
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
 from typing import NamedTuple
 
@@ -14,36 +19,90 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page and holds no tags. If one is never closed it takes the rest of the page, as in a browser.
 RAW = frozenset("script style textarea".split())
+#: Elements that divide a page; the innermost around a block says most about it.
+SECTIONS = frozenset("article aside body dialog div fieldset footer form head header main menu nav section td".split())
 #: Elements that an element's start tag ends, if they are open within the nearest of the second set.
 ENDS = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dd": ({"dd", "dt"}, {"dl"}),
-    "dt": ({"dd", "dt"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
-    "body": ({"head"}, set()),
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dd": (("dd", "dt"), ("dl",)),
+    "dt": (("dd", "dt"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "option": (("option",), ("select",)),
+    "body": (("head",), ()),
 }
 #: Block elements that don't end an open paragraph.
 INSIDE_P = frozenset({"button", "label", "option", "select", "body", "html", "head", "title"})
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: One attribute, or the end of a tag; what follows ``=`` may be quoted, in which case the quote that closes it may be missing at the page's end.
+ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)("?)|'([^']*+)('?)|([^\s>"'][^\s>]*+)?+))?+)""")
+ENDING = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 WORDS = re.compile(r"[a-z]+")
 
 
+class Node(NamedTuple):
+    """An open element: its name, the words of its class, id and role, its parent, its depth from 1 and the nearest section that it is or lies in."""
+
+    name: str
+    named: tuple[str, ...]
+    parent: Node | None
+    depth: int
+    near: Node | None
+
+    def path(self) -> list[Node]:
+        """The elements from the outermost to this one."""
+        out, node = [], self
+        while node is not None:
+            out.append(node)
+            node = node.parent
+        return out[::-1]
+
+
 class Block(NamedTuple):
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]  # of (element, words of its class, id and role), outermost first
+    node: Node | None  # the innermost element around the text
     linked: int  # characters of the text within links
 
 
+class _Open:
+    """The open elements, with the places of those of each name and of all blocks."""
+
+    def __init__(self) -> None:
+        self.nodes: list[Node] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def last(self, names: tuple[str, ...]) -> int:
+        return max((self.places[n][-1] for n in names if self.places[n]), default=-1)
+
+    def push(self, name: str, named: tuple[str, ...]) -> None:
+        parent = self.nodes[-1] if self.nodes else None
+        at = len(self.nodes)
+        node = Node(name, named, parent, at + 1, parent.near if parent else None)
+        self.nodes.append(node._replace(near=node) if name in SECTIONS else node)
+        self.places[name].append(at)
+        if name in BLOCKS:
+            self.blocks.append(at)
+
+    def close(self, to: int) -> None:
+        """End the element at a place and all within it."""
+        while len(self.nodes) > to:
+            name = self.nodes.pop().name
+            self.places[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+
+
 def blocks(html: str | None) -> list[Block]:
-    """Blocks with text in page order; character references decoded, white space within a block turned into one space."""
+    """Blocks with text in page order; character references decoded, white space within a block turned into one space.
+
+    Tags are read as browsers read them: a quote counts only where a value starts, and a tag or comment that the page's end cuts off is no text.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    open_ = _Open()
     pieces: list[str] = []
-    linked = links = at = 0
+    linked = at = 0
     html = html or ""
 
     def take(raw: str) -> None:
@@ -51,59 +110,87 @@ def blocks(html: str | None) -> list[Block]:
         if raw:
             text = unescape(raw) if "&" in raw else raw
             pieces.append(text)
-            linked += len(text.strip()) if links else 0
+            linked += len(text.strip()) if open_.places["a"] else 0
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             if text := " ".join("".join(pieces).split()):
-                out.append(Block(text, tuple(stack), min(linked, len(text))))
+                out.append(Block(text, open_.nodes[-1] if open_.nodes else None, min(linked, len(text))))
             pieces.clear()
         linked = 0
 
-    def close(to: int) -> None:
-        nonlocal links
-        links -= sum(name == "a" for name, _ in stack[to:])
-        del stack[to:]
-
-    found = TAG.search(html, at)
-    while found:
-        take(html[at : found.start()])
-        at = found.end()
-        end, name = found[1], (found[2] or "").lower()
-        if not name:
-            pass
-        elif name in RAW:
-            if not end and not found[3].endswith("/"):
-                after = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-                at = after.end() if after else len(html)
-        elif end:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if name in BLOCKS:
-                flush()
-            if depth is not None:
-                if name not in BLOCKS and any(n in BLOCKS for n, _ in stack[depth:]):
-                    pass  # an inline end tag doesn't end the blocks within its element
-                else:
-                    close(depth)
-        else:
+    while (start := html.find("<", at)) >= 0:
+        follows = html[start + 1 : start + 2]
+        if follows.isascii() and follows.isalpha():
+            take(html[at:start])
+            name, named, closed, at = _tag(html, start + 1)
+            if name is None:
+                break
+            if name in RAW:
+                if not closed:
+                    ending = ENDING[name].search(html, at)
+                    at = _tag(html, ending.start() + 2)[3] if ending else len(html)
+                continue
             if name in BLOCKS:
                 flush()
-                ends, within = ENDS.get(name, (set(), set()))
-                if name not in INSIDE_P:
-                    ends = ends | {"p"}
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
-                        close(i)
-                    elif stack[i][0] in within or stack[i][0] in BLOCKS and name not in ENDS:
-                        break
+                _start(open_, name)
             elif name in ("br", "img", "input"):
                 pieces.append(" ")
-            if name not in VOID and not found[3].endswith("/"):
-                named = tuple(w for m in NAMED.findall(found[3]) for w in WORDS.findall("".join(m).lower())) if "=" in found[3] else ()
-                stack.append((name, named))
-                links += name == "a"
-        found = TAG.search(html, at)
-    take(html[at:])
+            if name not in VOID and not closed:
+                open_.push(name, named)
+        elif follows == "/" and html[start + 2 : start + 3].isascii() and html[start + 2 : start + 3].isalpha():
+            take(html[at:start])
+            name, _, _, at = _tag(html, start + 2)
+            if name is None:
+                break
+            if name in BLOCKS:
+                flush()
+            depth = open_.last((name,))
+            # An inline end tag doesn't end the blocks within its element.
+            if depth >= 0 and (name in BLOCKS or not open_.blocks or open_.blocks[-1] < depth):
+                open_.close(depth)
+        elif follows in ("!", "?", "/") and follows:
+            take(html[at:start])
+            at = _beyond(html, "-->", start + 2) if html.startswith("<!--", start) else _beyond(html, ">", start + 2)
+        else:  # a sign of its own
+            take(html[at : start + 1])
+            at = start + 1
+    else:
+        take(html[at:])
     flush()
     return out
+
+
+def _beyond(html: str, mark: str, at: int) -> int:
+    found = html.find(mark, at)
+    return found + len(mark) if found >= 0 else len(html)
+
+
+def _tag(html: str, at: int) -> tuple[str | None, tuple[str, ...], bool, int]:
+    """From where a tag's name starts: the name, the words of class, id and role, whether it closes itself, and where it ends; no name if the page ends first."""
+    name = NAME.match(html, at)
+    at = name.end()
+    named: list[str] = []
+    while found := ATTRIBUTE.match(html, at):
+        if found[1]:
+            return name[0].lower(), tuple(named), html[found.end() - 2] == "/" and found.end() - 2 >= at, found.end()
+        at = found.end()
+        if found[3] is not None and not found[4] or found[5] is not None and not found[6]:
+            break
+        if found[2].lower() in ("class", "id", "role"):
+            named += WORDS.findall((found[3] or found[5] or found[7] or "").lower())
+    return None, (), False, len(html)
+
+
+def _start(open_: _Open, name: str) -> None:
+    """End what a block's start tag ends."""
+    ends, within = ENDS.get(name, ((), ()))
+    if name not in INSIDE_P:
+        ends = (*ends, "p")
+    while True:
+        last = open_.last(ends)
+        barrier = open_.last(within) if name in ENDS else open_.blocks[-1] if open_.blocks else -1
+        if last < 0 or last < barrier:
+            return
+        open_.close(last)

@@ -8,6 +8,7 @@ labels. It is trained on labelled pages that ``labelled_pages`` lays out in many
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,23 +18,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.arrays import made_on_a_worker, values
-from spindrift.llm.page_blocks import Block, blocks
+from spindrift.llm.page_blocks import Block, Node, blocks
 
 #: Labelled pages that the field is trained on, and the seed of their layouts.
 PAGES, SEED = 400, 5
 TURNS, RATE, PENALTY = 200, 0.15, 0.001
-#: Elements that divide a page; the innermost around a block says most about it.
-SECTIONS = frozenset("article aside body dialog div fieldset footer form head header main menu nav section td".split())
-Path = tuple[tuple[str, tuple[str, ...]], ...]
 
 
-def path_features(path: Path) -> set[str]:
-    found = {f"in {name}" for name, _ in path} | {f"named {w}" for _, named in path for w in named}
-    near = next((x for x in reversed(path) if x[0] in SECTIONS), None)
-    if near:
-        found.add(f"near {near[0]}")
-        found |= {f"near named {w}" for w in near[1]}
-    return found | {f"own {path[-1][0]}"} if path else found
+#: Share of the elements whose name says nothing of their part.
+UNNAMED = 0.2
+#: Names that layouts give to the parts of a page.
+NAMES = {
+    "text": "content main-content article article-body post post-content entry entry-content story story-body text body-copy page-content main".split(),
+    "menu": "nav menu navbar navigation breadcrumb breadcrumbs topbar links pagination tabs".split(),
+    "top": "header masthead site-header banner top logo branding".split(),
+    "side": "sidebar side widget related rail recommended popular more secondary aside tags".split(),
+    "ad": "ad ads advert advertisement sponsored promo banner-ad sponsor".split(),
+    "notice": "cookie cookies consent notice alert message popup modal gdpr disclaimer newsletter subscribe".split(),
+    "talk": "comments comment comment-list discussion replies responses reply".split(),
+    "bottom": "footer site-footer copyright bottom legal foot colophon".split(),
+    "share": "share social sharing buttons toolbar meta byline".split(),
+    "box": "container wrapper page row col grid layout inner outer site wrap".split(),
+}
+KNOWN = frozenset(w for kind in NAMES.values() for name in kind for w in name.split("-"))
+
+
+def known(named: tuple[str, ...]) -> set[str]:
+    """The words of a name that layouts share; all others are one, as they say no more than that the element has a name."""
+    return {w if w in KNOWN else "?" for w in named}
+
+
+def element_features(node: Node) -> set[str]:
+    """What an element tells about all blocks within it."""
+    return {f"in {node.name}", *(f"named {w}" for w in known(node.named))}
+
+
+def place_features(node: Node | None) -> set[str]:
+    """What the innermost element and section tell about a block."""
+    if node is None:
+        return set()
+    near = node.near
+    return {f"own {node.name}"} if near is None else {f"own {node.name}", f"near {near.name}", *(f"near named {w}" for w in known(near.named))}
+
+
+def path_features(node: Node | None) -> set[str]:
+    return place_features(node).union(*map(element_features, node.path())) if node else set()
 
 
 def text_features(block: Block) -> list[str]:
@@ -53,15 +82,25 @@ class Field:
 
     def __init__(self, weights: dict[str, float], steps: np.ndarray, start: float):
         self.weights, self.steps, self.start = weights, steps.tolist(), start
-        self.paths: dict[Path, float] = {}
 
-    def of_path(self, path: Path) -> float:
-        got = self.paths.get(path)
-        if got is None:
-            if len(self.paths) > 20_000:
-                self.paths.clear()
-            got = self.paths[path] = sum(self.weights.get(f, 0.0) for f in path_features(path))
-        return got
+    def of_paths(self, page: list[Block]) -> Iterator[float]:
+        """The weight of each block's elements, a feature counting once, by walking from block to block through the tree."""
+        get, stack, held, total = self.weights.get, [], Counter(), 0.0
+        for block in page:
+            new, node = [], block.node
+            while node is not None and (node.depth > len(stack) or stack[node.depth - 1] is not node):
+                new.append(node)
+                node = node.parent
+            while len(stack) > (node.depth if node else 0):
+                for f in element_features(stack.pop()):
+                    held[f] -= 1
+                    total -= 0 if held[f] else get(f, 0.0)
+            for node in reversed(new):
+                stack.append(node)
+                for f in element_features(node):
+                    held[f] += 1
+                    total += get(f, 0.0) if held[f] == 1 else 0
+            yield total + sum(get(f, 0.0) for f in place_features(block.node))
 
     def decode(self, page: list[Block]) -> list[int]:
         """The likeliest labels, 1 for text, by Viterbi."""
@@ -70,8 +109,8 @@ class Field:
         (aa, ab), (ba, bb) = self.steps
         get = self.weights.get
         back, a, b = [], 0.0, self.start
-        for i, block in enumerate(page):
-            own = self.of_path(block.path) + sum(get(f, 0.0) for f in text_features(block))
+        for i, (block, path) in enumerate(zip(page, self.of_paths(page), strict=True)):
+            own = path + sum(get(f, 0.0) for f in text_features(block))
             if i:
                 from_a, from_b = b + ba > a + aa, b + bb > a + ab
                 back.append((int(from_a), int(from_b)))
@@ -87,7 +126,7 @@ def train(pages: list[tuple[list[Block], list[int]]]) -> Field:
     """The field that maximises the penalised likelihood of the pages' labels, by Adam over all pages at once."""
     pages = [p for p in pages if p[0]]
     features: dict[str, int] = {}
-    each = [[[features.setdefault(f, len(features)) for f in (*path_features(b.path), *text_features(b))] for b in page] for page, _ in pages]
+    each = [[[features.setdefault(f, len(features)) for f in (*sorted(path_features(b.node)), *text_features(b))] for b in page] for page, _ in pages]
     longest = max(len(p) for p in each)
     x = np.zeros((len(pages), longest, len(features)), dtype=np.float32)
     y, there = np.zeros((len(pages), longest), dtype=int), np.zeros((len(pages), longest), dtype=bool)
@@ -124,21 +163,6 @@ def train(pages: list[tuple[list[Block], list[int]]]) -> Field:
     return Field({f: float(w[i]) for f, i in features.items()}, w[-5:-1].reshape(2, 2), float(w[-1]))
 
 
-#: Names that layouts give to the parts of a page.
-NAMES = {
-    "text": "content main-content article article-body post post-content entry entry-content story story-body text body-copy page-content main".split(),
-    "menu": "nav menu navbar navigation breadcrumb breadcrumbs topbar links pagination tabs".split(),
-    "top": "header masthead site-header banner top logo branding".split(),
-    "side": "sidebar side widget related rail recommended popular more secondary aside tags".split(),
-    "ad": "ad ads advert advertisement sponsored promo banner-ad sponsor".split(),
-    "notice": "cookie cookies consent notice alert message popup modal gdpr disclaimer newsletter subscribe".split(),
-    "talk": "comments comment comment-list discussion replies responses reply".split(),
-    "bottom": "footer site-footer copyright bottom legal foot colophon".split(),
-    "share": "share social sharing buttons toolbar meta byline".split(),
-    "box": "container wrapper page row col grid layout inner outer site wrap".split(),
-}
-
-
 def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[tuple[str, int]]]]:
     """Pages of random words in many layouts, each as its html and the pieces of its text with label 1 for main text."""
     return [_Layout(random.Random(f"{seed}/{i}")).page() for i in range(n)]
@@ -152,10 +176,13 @@ class _Layout:
         self.loose = r.random() < 0.3  # end tags left out
         self.short = r.choice((0.05, 0.1, 0.6))  # share of the paragraphs with few words
 
+    def word(self) -> str:
+        return "".join(self.r.choice("bcdfglmnprst") + self.r.choice("aeiou") for _ in range(self.r.randint(1, 4)))
+
     def words(self, low: int, high: int, stop: str = "", label: int = 0) -> str:
         self.serial += 1
         n = self.r.randint(low, high)
-        text = [f"w{self.serial}x"] + ["".join(self.r.choice("bcdfglmnprst") + self.r.choice("aeiou") for _ in range(self.r.randint(1, 4))) for _ in range(n - 1)]
+        text = [f"w{self.serial}x"] + [self.word() for _ in range(n - 1)]
         for i in range(5, n - 1, 9):
             text[i] += self.r.choice(",.;,")
         self.truth.append((text[0], label))
@@ -164,7 +191,8 @@ class _Layout:
     def el(self, name: str, inside: str, kind: str = "") -> str:
         named = ""
         if kind:
-            chosen = " ".join(self.r.sample(NAMES[kind], self.r.choice((1, 1, 2))))
+            # Some names mean nothing, as many do on real pages.
+            chosen = self.word() if self.r.random() < UNNAMED else " ".join(self.r.sample(NAMES[kind], self.r.choice((1, 1, 2))))
             named = f' {self.r.choice(("class", "class", "id"))}="{chosen}"'
         end = "" if self.loose and name in ("p", "li", "td", "tr") and self.r.random() < 0.5 else f"</{name}>"
         return f"<{name}{named}>{inside}{end}"
