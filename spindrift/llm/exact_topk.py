@@ -3,7 +3,7 @@
 Every vector's distance to each of many pivots is computed once. For a query q and a candidate x the largest difference of
 their pivot distances is a lower bound of their distance, and since twice their inner product is |q|^2 + |x|^2 less the
 squared distance, an upper bound of their score. Candidates lie in cells around their nearest pivot, and the smallest and largest distance of a cell's members
-to each pivot bound a whole cell. A query first meets one block of its own cell, whose k-th best score it takes along; then it goes to the blocks of
+to all pivots bound a whole cell. A query first meets one block of its own cell, whose k-th best score it takes along; then it goes to the blocks of
 only those cells whose bound reaches that score, and in each block the candidates are evaluated in the order of their bound until it falls
 below the k-th best exact score. A block's candidates are shuffled once and held by one task, which the queries pass through.
 """
@@ -26,8 +26,8 @@ from spindrift.staging import staged
 PIVOTS, CHOSEN_FROM = 64, 1024
 #: Rows and components of a block of candidates at most.
 BLOCK_ROWS, BLOCK_VALUES = 16384, 4 << 20
-#: Queries bounded at once, and candidates evaluated at each step.
-AT_ONCE, STEP = 32, 256
+#: Pivots that bound a candidate, those nearest to the query, and candidates evaluated at first; then as many as before, all together.
+NEAREST, STEP = 8, 512
 #: Whole numbers up to this are exact in doubles, and so are sums of products that stay below it.
 EXACT = 2.0**53
 SEED = 5
@@ -86,30 +86,29 @@ def best_of_block(queries: Vectors, least: np.ndarray, block: Vectors, k: int) -
 
     A query has at most k and only those that reach ``least``. Scores are exact: sums that doubles can't hold are added as whole numbers of any size.
     """
+    if not len(block.ids):
+        return
     with np.errstate(over="ignore"):
-        q2, x2 = queries.norms**2, block.norms**2
-    for at in range(0, len(queries.ids) if len(block.ids) else 0, AT_ONCE):
-        some = queries.away[at : at + AT_ONCE]
-        apart = np.zeros((len(some), len(block.ids)), dtype=np.float32)
-        for p in range(some.shape[1]):
-            with np.errstate(invalid="ignore"):
-                np.fmax(apart, np.abs(some[:, p, None] - block.away[None, :, p]), out=apart)
-        bound = bounds(q2[at : at + AT_ONCE, None], x2[None], apart.astype(np.float64))
-        for row in range(len(bound)):
-            i, ub = at + row, bound[row]
-            rest = np.flatnonzero((ub >= least[i]) & (block.ids != queries.ids[i]))
+        q2, x2, away = queries.norms**2, block.norms**2, np.ascontiguousarray(block.away.T)
+    for i in range(len(queries.ids)):
+        # The pivots about a query tell most: what lies far from them lies far from it.
+        near = np.argsort(queries.away[i])[:NEAREST]
+        with np.errstate(invalid="ignore"):
+            apart = np.fmax.reduce(np.abs(away[near] - queries.away[i, near, None]), axis=0)
+        ub = bounds(q2[i], x2, np.nan_to_num(apart, nan=0.0).astype(np.float64))
+        rest = np.flatnonzero((ub >= least[i]) & (block.ids != queries.ids[i]))
+        if len(rest) > STEP:
             rest = rest[np.argsort(-ub[rest], kind="stable")]
-            ids, scores, seen, limit = np.empty(0, dtype=block.ids.dtype), np.empty(0), 0, least[i]
-            for start in range(0, len(rest), STEP):
-                now = rest[start : start + STEP]
-                if ub[now[0]] < limit:
-                    break
-                seen += len(now)
-                told = _scores(queries.rows[i], queries.norms[i], block.rows[now], block.norms[now])
-                ids, scores = _kept(np.append(ids, block.ids[now]), np.append(scores, told), k)
-                if len(scores) == k:
-                    limit = max(limit, _below(scores[-1]))
-            yield i, ids, scores, seen
+        ids, scores, seen, limit = np.empty(0, dtype=block.ids.dtype), np.empty(0), 0, least[i]
+        while seen < len(rest) and ub[rest[seen]] >= limit:
+            now = rest[seen : seen + max(STEP, seen)]
+            seen += len(now)
+            told = _scores(queries.rows[i], queries.norms[i], block.rows[now], block.norms[now])
+            ids, scores = _kept(np.append(ids, block.ids[now]), np.append(scores, told), k)
+            if len(scores) == k:
+                limit = max(limit, _below(scores[-1]))
+        reach = np.array([s >= least[i] for s in scores], dtype=bool)
+        yield i, ids[reach], scores[reach], seen
 
 
 def _scores(q: np.ndarray, q_norm: float, rows: np.ndarray, norms: np.ndarray) -> np.ndarray:
