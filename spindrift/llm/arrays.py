@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Rows turned into Python objects at once, so that memory follows a few texts and not a whole batch.
 ROWS_AT_ONCE = 128
@@ -70,18 +71,29 @@ def _last(batch: pa.RecordBatch, keys: list[str]) -> tuple:
 
 
 def made_on_a_worker(rows: DataFrame, make: Callable[[list[dict]], object]) -> object:
-    """What ``make`` builds from all of a bounded number of rows, in one task of its own.
+    """What ``make`` builds from all of a bounded number of rows, in one task of its own."""
+    return made_on_workers(rows, lambda all_, _: make(all_), 1)[0]
+
+
+def made_on_workers(rows: DataFrame, make: Callable[[list[dict], int], object], times: int) -> list:
+    """What ``make`` builds from all of a bounded number of rows and each number below ``times``, in as many tasks; nothing from no rows.
 
     Numeric libraries start as many threads as the machine has cores in the driver, but one in a Spark worker, where
-    the cores are shared out. The result comes back pickled, and must be small.
+    the cores are shared out. The results come back pickled, and must be small.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = make([row for batch in batches for row in batch.to_pylist()])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["made"])
+        held: dict[int, list[dict]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.setdefault(row.pop("__time"), []).append(row)
+        for time in sorted(held):
+            made = make(held.pop(time), time)
+            yield pa.RecordBatch.from_arrays([pa.array([time], pa.int32()), pa.array([pickle.dumps(made)], pa.binary())], names=["time", "made"])
 
     rows.sparkSession.sparkContext.environment.setdefault("OMP_NUM_THREADS", "1")
-    return pickle.loads(rows.repartition(1).mapInArrow(of, "made binary").first()["made"])
+    each = rows.withColumn("__time", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).repartitionByRange(times, "__time")
+    return [pickle.loads(r["made"]) for r in sorted(each.mapInArrow(of, "time int, made binary").collect())]
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:

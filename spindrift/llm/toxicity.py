@@ -8,7 +8,8 @@ margin is a sum over its own subsequences, and a worker remembers the margins of
 
 Only whole texts are labelled, so training is by witnesses: words that occur in toxic texts far more than in clean ones start as
 positives, all words of clean texts are negatives, and then each toxic text's word with the best margin stands for it. A text's
-score is a logistic function of its best words' margins, fitted on texts of the training rows that the machine has not seen.
+score is a logistic function of the margins of its several best words, as one near miss is no insult and several are. It is fitted on texts of the training rows that the
+machine has not seen: three machines each leave out a third, and the model is their mean.
 """
 
 from __future__ import annotations
@@ -17,25 +18,27 @@ import math
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from heapq import nlargest
 from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from spindrift.llm.arrays import ROWS_AT_ONCE, made_on_a_worker
+from spindrift.llm.arrays import ROWS_AT_ONCE, made_on_workers
 
 DECAY = 0.75
 #: Letters that a subsequence of three may span at most, and letters of a word that are looked at in one piece.
 SPAN, PIECE = 5, 32
 #: Toxic and clean labelled texts that training uses at most; those whose ids hash lowest.
 MOST_TOXIC, MOST_CLEAN = 2000, 4000
-#: Code points of the longest text that training uses; with the bounds above this bounds the driver's memory.
-LONGEST_TEXT = 20_000
-#: Parts of the texts, one of which a machine of the others judges for the logistic function; with fewer texts than this, each in turn.
-FOLDS, FEW_TEXTS = 4, 1500
+#: Bytes of either that training uses at most.
+MOST_BYTES = 32 << 20
+#: Parts of the texts, each judged by a machine of the others, and best margins of a text that its score follows.
+FOLDS, TOP = 3, 4
 LANDMARKS = 200
 #: Evidence beyond which a word stays a witness in every round.
 PLAIN = 30
@@ -106,10 +109,10 @@ def words_of(piece: str) -> list[str]:
 
 
 class Model:
-    """Weights of subsequences by code, and the logistic function over a text's best margin."""
+    """Weights of subsequences by code, and the logistic function over a text's ``TOP`` best margins, best first."""
 
-    def __init__(self, codes: np.ndarray, weights: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
-        self.codes, self.weights, self.bias, self.slope, self.shift = codes, weights, bias, slope, shift
+    def __init__(self, codes: np.ndarray, weights: np.ndarray, bias: float, slopes: list[float] | None = None, shift: float = 0.0):
+        self.codes, self.weights, self.bias, self.slopes, self.shift = codes, weights, bias, slopes or [0.0] * TOP, shift
         self.known: dict[str, float] = {}
 
     def margins(self, words: list[str]) -> np.ndarray:
@@ -136,49 +139,85 @@ class Model:
             self.known[piece] = max(margins[at : at + len(ws)], default=self.bias)
             at += len(ws)
 
-    def best(self, texts: list[str | None]) -> list[float]:
-        """Each text's highest margin; a text without words has the bias alone."""
+    def best(self, texts: list[str | None]) -> list[list[float]]:
+        """Each text's highest margins of different words; where it has fewer words the bias alone."""
         bags = [pieces_of(t) for t in texts]
         out, get = [], self.known.__getitem__
         for at in range(0, len(bags), 32):
             self.meet(set().union(*bags[at : at + 32]))
-            out += [max(map(get, bag), default=self.bias) for bag in bags[at : at + 32]]
+            out += [filled(nlargest(TOP, map(get, bag)), self.bias) for bag in bags[at : at + 32]]
         return out
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        return [1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * b + self.shift)))) for b in self.best(texts)]
+        sums = (sum(a * b for a, b in zip(self.slopes, best, strict=True)) + self.shift for best in self.best(texts))
+        return [1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in sums]
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}
 
 
-def train(texts: list[str], toxic: list[int]) -> Model:
-    """A model from labelled texts, its logistic function fitted on texts that a machine of the other texts judges."""
+def filled(margins: list[float], bias: float) -> list[float]:
+    return margins + [min([bias, *margins])] * (TOP - len(margins))
+
+
+def mean_of(models: list[Model]) -> Model:
+    """The machine whose margins are the mean of the machines'."""
+    codes = np.unique(np.concatenate([m.codes for m in models]))
+    weights = np.zeros(len(codes))
+    for m in models:
+        weights[np.searchsorted(codes, m.codes)] += m.weights / len(models)
+    return Model(codes, weights, sum(m.bias for m in models) / len(models))
+
+
+class Part(NamedTuple):
+    """A machine of all texts but one part, the best margins that it gives that part's texts, and their labels."""
+
+    model: Model
+    best: list[list[float]]
+    labels: list[int]
+
+
+def part(texts: list[str], toxic: list[int], k: int) -> Part | None:
+    """Part ``k`` of a model's training; None if the other texts have one label alone. Part 0 stands in where that is so of all parts."""
     labels = np.array(toxic, dtype=int)
-    if not labels.any() or labels.all():
-        rate = (labels.sum() + 1) / (len(labels) + 2) if len(labels) else 0.01
-        return Model(np.empty(0, dtype=np.int64), np.empty(0), 0.0, 0.0, math.log(rate / (1 - rate)))
-    number: dict[str, int] = {}
-    bags = [np.unique([number.setdefault(w, len(number)) for p in pieces_of(t) for w in words_of(p)]).astype(np.int32) for t in texts]
-    words = list(number)
-    fold = np.array([zlib.crc32(t.encode()) % FOLDS for t in texts])
-    judged = range(FOLDS) if len(texts) < FEW_TEXTS else range(1)
-    margins, of = [], []
-    for k in judged:
+    fold = np.array([zlib.crc32(t.encode()) % FOLDS for t in texts], dtype=int)
+    fits = [0 < labels[fold != j].sum() < (fold != j).sum() for j in range(FOLDS)]
+    if not any(fits) and k == 0:
+        if not len(labels) or not labels.any() or labels.all():
+            rate = (labels.sum() + 1) / (len(labels) + 2) if len(labels) else 0.01
+            return Part(Model(np.empty(0, dtype=np.int64), np.empty(0), 0.0, None, math.log(rate / (1 - rate))), [], [])
+        inside = outside = np.arange(len(texts))
+    elif not fits[k]:
+        return None
+    else:
         inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        if len(outside) and 0 < labels[inside].sum() < len(inside):
-            model = machine_of(words, [bags[i] for i in inside], labels[inside])
-            each = model.margins(words)
-            margins += [each[bags[i]].max(initial=model.bias) for i in outside]
-            of += labels[outside].tolist()
-    model = machine_of(words, bags, labels)
+    # Words are numbered in their own order, so that nothing depends on that of a set.
+    of_text = [sorted({w for p in pieces_of(t) for w in words_of(p)}) for t in texts]
+    words = sorted(set().union(*of_text))
+    number = {w: i for i, w in enumerate(words)}
+    bags = [np.array([number[w] for w in ws], dtype=np.int32) for ws in of_text]
+    model = machine_of(words, [bags[i] for i in inside], labels[inside])
+    each = model.margins(words)
+    return Part(model, [filled(np.sort(each[bags[i]])[::-1][:TOP].tolist(), model.bias) for i in outside], labels[outside].tolist())
+
+
+def whole(parts: list[Part | None]) -> Model:
+    """The mean of the parts' machines, with a logistic function fitted on what each makes of the texts that it has not seen."""
+    parts = [p for p in parts if p is not None] or [part([], [], 0)]
+    model = mean_of([p.model for p in parts])
+    best, of = [b for p in parts for b in p.best], [y for p in parts for y in p.labels]
     if not 0 < sum(of) < len(of):
-        each = model.margins(words)
-        margins, of = [each[bag].max(initial=model.bias) for bag in bags], labels.tolist()
-    model.slope, model.shift = logistic(np.array(margins), np.array(of))
+        model.shift = parts[0].model.shift if not of else math.log((sum(of) + 1) / (len(of) - sum(of) + 1))
+        return model
+    model.slopes, model.shift = logistic(np.array(best), np.array(of))
     return model
 
 
+def train(texts: list[str], toxic: list[int]) -> Model:
+    """A model from labelled texts."""
+    return whole([part(texts, toxic, k) for k in range(FOLDS)])
+
+
 def machine_of(words: list[str], bags: list[np.ndarray], labels: np.ndarray) -> Model:
     """The machine of labelled bags of numbers of words, by witnesses and ever harder negatives."""
     bad, good = ([bag for bag, y in zip(bags, labels, strict=True) if y == of] for of in (1, 0))
@@ -275,25 +314,37 @@ class Nystrom:
         return Model(self.codes, self.rows @ (self.root @ v[:-1]), float(v[-1]))
 
 
-def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the probability of label 1 given a margin, by damped Newton steps with smoothed labels."""
+def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[list[float], float]:
+    """Slopes, none below 0, and shift of the probability of label 1 given a text's best margins, by damped Newton steps with smoothed labels."""
     ones, zeros = labels.sum(), len(labels) - labels.sum()
     goal = np.where(labels == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
-    x = np.stack([margins, np.ones(len(margins))], axis=1)
-
+    used = list(range(margins.shape[1]))
+    while True:
+        w = _newton(np.hstack([margins[:, used], np.ones((len(margins), 1))]), goal)
+        # A better margin never speaks against a text.
+        below = [i for i, x in zip(used, w, strict=False) if x < 0]
+        if not below or len(used) == 1:
+            slopes = np.zeros(margins.shape[1])
+            slopes[used] = np.maximum(w[:-1], 1e-3 if len(used) == 1 else 0)
+            return slopes.tolist(), float(w[-1])
+        used = [i for i in used if i not in below] or [0]
+
+
+def _newton(x: np.ndarray, goal: np.ndarray) -> np.ndarray:
     def loss(w: np.ndarray) -> float:
         z = x @ w
         return float((np.logaddexp(0, z) - goal * z).sum() + 5e-4 * (w * w).sum())
 
-    w = np.array([1.0, 0.0])
+    w = np.zeros(x.shape[1])
+    w[0] = 1.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        change = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - goal) + 1e-3 * w)
+        change = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(x.shape[1]), x.T @ (p - goal) + 1e-3 * w)
         step = next((s for s in 0.5 ** np.arange(30) if loss(w - s * change) < loss(w)), 0.0)
         if not step:
             break
         w = w - step * change
-    return max(float(w[0]), 1e-3), float(w[1])
+    return w
 
 
 def learnable(id_col: str):
@@ -302,26 +353,27 @@ def learnable(id_col: str):
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from the texts of ``sampled``."""
+    """A model from the texts of ``sampled``, each part of its training in a task of its own."""
 
-    def model(rows: list[dict]) -> Model:
-        rows = sorted(rows, key=lambda r: r["id"])
-        return train([r["text"] for r in rows], [int(r["y"]) for r in rows])
+    def made(rows: list[dict], k: int) -> Part | None:
+        rows = sorted(rows, key=lambda r: (r["id"], r["text"]))
+        return part([r["text"] for r in rows], [int(r["y"]) for r in rows], k)
 
-    return made_on_a_worker(sampled(docs, labels, id_col, text_col, label_col), model)
+    return whole(made_on_workers(sampled(docs, labels, id_col, text_col, label_col), made, FOLDS))
 
 
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """``(id, y, text)`` of at most ``MOST_TOXIC`` toxic and ``MOST_CLEAN`` clean texts among the rows that training may use.
+    """``(id, y, text)`` of at most ``MOST_TOXIC`` toxic and ``MOST_CLEAN`` clean texts among the rows that training may use, and ``MOST_BYTES`` of either.
 
-    Rows with a null id, text or label and texts longer than ``LONGEST_TEXT`` are left out, and so are labels without a document; all
-    before the numbers are bounded. An id labelled both ways counts as toxic.
+    They come in the order of their ids' hashes, whatever their length, but for texts that alone are a sixteenth of ``MOST_BYTES``. Rows with a null id, text
+    or label are left out, and so are labels without a document; all before the numbers are bounded. An id labelled both ways counts as toxic.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.char_length("text") <= LONGEST_TEXT)
-    known = labels.where(F.col(label_col).isin(0, 1) & learnable(id_col)).groupBy(id_col).agg(F.max(label_col).alias("y"))
-    known = known.join(texts.select(F.col("id").alias(id_col)).where(learnable(id_col)), id_col, "left_semi")
-    both = [known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(most) for y, most in ((0, MOST_CLEAN), (1, MOST_TOXIC))]
-    marked = both[0].unionByName(both[1]).withColumnRenamed(id_col, "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(learnable("id") & (F.octet_length("text") <= MOST_BYTES // 16))
+    known = labels.where(F.col(label_col).isin(0, 1) & learnable(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
+    sizes = texts.select("id", F.octet_length("text").alias("size")).join(known, "id").groupBy("id", "y").agg(F.max("size").alias("size"))
+    both = [sizes.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most) for y, most in ((0, MOST_CLEAN), (1, MOST_TOXIC))]
+    so_far = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
+    marked = both[0].unionByName(both[1]).withColumn("held", F.sum("size").over(so_far)).where(F.col("held") <= MOST_BYTES).select("id", "y")
     return texts.join(F.broadcast(marked), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
 

@@ -10,6 +10,7 @@ from test_pairs import SHORTEST, components, near_words, one_edit, plain_fingerp
 from test_texts import RANKS, labelled, plain_targets
 
 from spindrift.llm import bpe, toxicity
+from spindrift.staging import staged
 
 
 def test_pipeline(spark, tmp_path):
@@ -25,7 +26,7 @@ def test_pipeline(spark, tmp_path):
     docs, after = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
     model = toxicity.fitted(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
     for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, str(tmp_path)).localCheckpoint()
+        docs = staged(stage(spark, docs, str(tmp_path)), name)
         after[name] = docs.collect()
 
     told = dict(zip([r[0] for r in rows], model.scores([r[1] for r in rows]), strict=True))
