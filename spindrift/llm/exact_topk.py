@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm.arrays import starts_of
-from spindrift.llm.vectors import finite, matrix
+from spindrift.llm.vectors import BLOCK_VALUES, finite, matrix, slices
 from spindrift.staging import staged
 
 #: Pivots, and the vectors among which they are chosen, those whose ids hash lowest.
 PIVOTS, CHOSEN_FROM = 64, 1024
-#: Rows and components of a block of candidates at most.
-BLOCK_ROWS, BLOCK_VALUES = 16384, 4 << 20
+#: Rows of a block of candidates at most; its values are bounded as well.
+BLOCK_ROWS = 16384
 #: Pivots that bound a candidate, those nearest to the query, and candidates evaluated at first; then as many as before, all together.
 NEAREST, STEP = 8, 512
 #: Whole numbers up to this are exact in doubles, and so are sums of products that stay below it.
@@ -178,17 +178,6 @@ def _prepared(pivots: np.ndarray, scale: int):
     return of
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch that hold ``BLOCK_VALUES`` values in a list column at most once the lists are filled up to the longest of them, or one row."""
-    sizes = np.diff(np.asarray(batch.column(column).offsets, dtype=np.int64))
-    at = 0
-    while at < batch.num_rows:
-        filled = np.maximum.accumulate(sizes[at:]) * np.arange(1, batch.num_rows - at + 1)
-        n = max(1, int(np.searchsorted(filled, BLOCK_VALUES, side="right")))
-        yield batch.slice(at, n)
-        at += n
-
-
 def _extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each cell in a partition the rows, the longest vector and list, and the smallest and largest distance to each pivot."""
     seen: dict[int, list] = {}

@@ -5,8 +5,9 @@ emitted from coarse to fine. First each distinct line deletes each of ``PIECES``
 of what remains, with the stretches placed for its own length and for the length below, so that a line meets lines that are one
 code point shorter. Only lines that meet another line over some stretch go on, and only with that stretch: there they emit the
 hashed remainder of every single deleted code point, with its position. Equal lengths that agree on position and remainder are one
-substitution apart; a line whose remainder is another line whole is one insertion away from it. So lines that share such a key
-are verified by it, and no pairs are formed: the earliest line of each key is a windowed minimum.
+substitution apart; a line whose remainder is another line whole is one insertion away from it. The earliest line of each key is a windowed minimum, so no
+pairs are formed but of a line with the earliest one that it meets, and there the edit distance itself is checked. Coarse keys are counted before lines are joined to those that several
+lines hold, so a key that very many lines hold is combined before the shuffle and split after it.
 
 Replaced words are found alike, for any number of them. A line's words are cut into stretches, and each choice of as many stretches as
 words may be replaced is left out in turn. Choices that meet another line's are cut again, and so on until what is left out is no more words than the
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from spindrift.staging import discard, reclaim, staged
 
-#: Stretches that a line is cut into, and the fewest code points of a line that is compared within an edit.
+#: Stretches that a line is cut into, and the fewest code points of a line that is compared within an edit unless stated otherwise; in a short line one
+#: edit makes another word.
 PIECES = 4
 SHORTEST = 20
 #: Words that a line must have for each of its words that may differ.
@@ -36,10 +38,10 @@ KEYS_AT_ONCE = 5
 WHITE = " \t\n\x0b\x0c\r"
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 0, shortest: int = SHORTEST) -> DataFrame:
     """``docs`` with its later duplicate lines taken out of ``text_col``; all rows and columns stay.
 
-    Lines end at ``\\n``. A line goes if an earlier line equals it or, with at least ``SHORTEST`` code points in both, is one
+    Lines end at ``\\n``. A line goes if an earlier line equals it or, with at least ``shortest`` code points in both, is one
     inserted, deleted or replaced code point away from it. With ``words`` it also goes if an earlier line has as many words, at most ``words`` of
     them others, or if one inserted or deleted word lies between the two. The shorter line must have ``WORDS_EACH`` words for each that differs, and so many at least;
     words are what stands between white space, of which the amount plays no part. Earlier means a smaller id (null first), then a smaller hash of the text, then
@@ -47,7 +49,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     match nothing. Rows with the same id and text count as one document, and each comes back alike. A null text
     stays null; a text whose lines all go becomes empty. An empty table gives an empty result.
     """
-    gone = duplicate_lines(docs, id_col, text_col, words).groupBy("__id", "__of").agg(F.collect_set("__place").alias("__gone"))
+    gone = duplicate_lines(docs, id_col, text_col, words, shortest).groupBy("__id", "__of").agg(F.collect_set("__place").alias("__gone"))
     rows = docs.withColumns({"__a": F.col(id_col), "__b": F.xxhash64(text_col)})
     joined = rows.join(gone.hint("shuffle_hash"), F.col("__a").eqNullSafe(F.col("__id")) & (F.col("__b") == F.col("__of")), "left")
     kept = F.filter(F.split(text_col, "\n", -1), lambda line, i: ~F.array_contains("__gone", i))
@@ -55,7 +57,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.withColumn(text_col, text).select(*docs.columns)
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 0, shortest: int = SHORTEST) -> DataFrame:
     """``(__id, __of, __place)`` of the lines that ``dedup_lines`` takes out: id, hash of the text and place from 0."""
     texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__of"), F.col(text_col).alias("text"))
     lines = texts.select("__id", "__of", F.posexplode(F.split("text", "\n", -1)).alias("__place", "line"))
@@ -64,7 +66,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spots = lines.select(spot.alias("spot"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
     keyed = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line"), "n": F.char_length("line")})
-    coarse = {f"k{j}": F.when(F.col("n") >= SHORTEST, F.xxhash64(*_outside(j))) for j in range(2 * PIECES)}
+    coarse = {f"k{j}": F.when(F.col("n") >= shortest, F.xxhash64(*_outside(j))) for j in range(2 * PIECES)}
     keyed = keyed.withColumns(coarse)
     if words:
         keyed = _with_word_keys(keyed, words)
@@ -97,9 +99,13 @@ def _met(distinct: DataFrame) -> DataFrame:
     """By document the first occurrences of lines that meet another over some stretch, with that stretch."""
     stretches = F.array(*[F.struct(F.lit(j).alias("stretch"), F.col(f"k{j}").alias("key")) for j in range(2 * PIECES)])
     coarse = distinct.where("k0 is not null").select(F.xxhash64("h1", "h2").alias("line_id"), F.explode(stretches).alias("x")).select("line_id", "x.*")
-    held = coarse.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("held > 1").select("line_id", "stretch")
+    shared = staged(coarse.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key"), "shared-keys")
+    reclaim(distinct.sparkSession)
+    held = coarse.join(shared, "key", "left_semi").select("line_id", "stretch")
     met = distinct.select(F.xxhash64("h1", "h2").alias("line_id"), "first").join(held, "line_id")
-    return staged(met.groupBy("first.__id", "first.__of").agg(F.collect_list(F.struct(F.col("first.__place").alias("__place"), "stretch")).alias("met")), "met-lines")
+    met = staged(met.groupBy("first.__id", "first.__of").agg(F.collect_list(F.struct(F.col("first.__place").alias("__place"), "stretch")).alias("met")), "met-lines")
+    discard(shared)
+    return met
 
 
 def _near(texts: DataFrame, met: DataFrame) -> DataFrame:
@@ -107,7 +113,8 @@ def _near(texts: DataFrame, met: DataFrame) -> DataFrame:
     same = F.col("t.__id").eqNullSafe(F.col("m.__id")) & (F.col("t.__of") == F.col("m.__of"))
     found = texts.alias("t").join(met.hint("shuffle_hash").alias("m"), same).select("t.__id", "t.__of", F.split("text", "\n", -1).alias("lines"), "met")
     found = found.select("__id", "__of", F.explode(F.transform("met", lambda m: F.struct(m["__place"].alias("__place"), m["stretch"].alias("stretch"), F.get("lines", m["__place"]).alias("line")))).alias("m"))
-    found = found.select(F.struct("__id", "__of", "m.__place").alias("spot"), "m.stretch", "m.line").distinct()
+    found = staged(found.select(F.struct("__id", "__of", "m.__place").alias("spot"), "m.stretch", "m.line").distinct(), "near-lines")
+    lines = found.groupBy("spot").agg(F.min("line").alias("line"))
     found = found.withColumns({"n": F.char_length("line"), "longer": (F.col("stretch") >= PIECES).cast("int"), "piece": F.col("stretch") % PIECES})
     length, prefix, suffix, start, width = _placed(F.col("n"), F.col("longer"), F.col("piece"))
     found = found.select("spot", "longer", length.alias("length"), "piece", F.substring("line", F.lit(1), prefix).alias("before"), F.substring("line", suffix, F.col("n")).alias("behind"), F.substring("line", start, width).alias("inside"))
@@ -122,8 +129,9 @@ def _near(texts: DataFrame, met: DataFrame) -> DataFrame:
     here = Window.partitionBy("f1", "f2")
     whole = F.min(F.when((F.col("longer") == 0) & (F.col("place") == -1), F.col("spot"))).over(here)
     fine = fine.withColumns({"earliest": F.min("spot").over(here), "whole": whole})
-    goes = F.when(F.col("longer") == 1, F.col("whole") < F.col("spot")).otherwise(F.col("earliest") < F.col("spot"))
-    return fine.where(goes).select("spot.*").distinct()
+    fine = fine.withColumn("other", F.when(F.col("longer") == 1, F.col("whole")).otherwise(F.col("earliest"))).where(F.col("other") < F.col("spot"))
+    pairs = fine.select("spot", "other").distinct().join(lines, "spot").join(lines.select(F.col("spot").alias("other"), F.col("line").alias("of_other")), "other")
+    return pairs.where(F.levenshtein("line", "of_other", 1) >= 0).select("spot.*").distinct()
 
 
 def _placed(n: Column, longer: Column | int, piece: Column | int) -> tuple[Column, ...]:

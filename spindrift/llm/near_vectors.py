@@ -3,7 +3,7 @@
 A table's key is the side of each of its hyperplanes that a vector lies on. Vectors that share a key in some table are compared
 exactly. Equal vectors are one vector with a count throughout. Within a key all comparisons are matrix products that
 leave behind a count for each vector and links that span each group, never the pairs; a key with many
-vectors is cut into blocks, each pair of blocks being a task's work of its own.
+vectors is cut into blocks, each pair of blocks being a task's work of its own. The work within a dense key of different vectors grows with its square.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.arrays import starts_of, whole_groups
 from spindrift.llm.components import connected_components
-from spindrift.llm.vectors import finite, longest, matrix
-from spindrift.staging import staged
+from spindrift.llm.vectors import finite, matrix, slices
+from spindrift.staging import discard, staged
 
 THRESHOLD = 0.95
 #: Share of the pairs exactly at the threshold that the tables should find; nearer pairs are found more often.
@@ -29,6 +29,8 @@ PER_KEY = 16
 #: Vectors of a block of a key, and rows compared at once.
 BLOCK, ROWS = 4096, 512
 SEED = 7
+#: Components of a chunk of the hyperplanes.
+WIDE = 4096
 
 
 def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -38,21 +40,31 @@ def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
-def _signed(bits: int, tables: int, width: int):
-    planes = np.random.default_rng(SEED).standard_normal((width, tables * bits))
+def _planes(chunk: int, width: int, count: int) -> np.ndarray:
+    """The hyperplanes' components from ``chunk * WIDE`` on; those of a chunk depend on nothing else."""
+    return np.random.default_rng([SEED, chunk]).standard_normal((WIDE, count))[:width]
+
+
+def _signed(bits: int, tables: int):
     weights = 1 << np.arange(bits, dtype=np.int64)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = _planes(0, WIDE, tables * bits)
         for batch in batches:
-            m = matrix(batch.column(1), width)
-            keys = ((m @ planes > 0).reshape(len(m), tables, bits) @ weights).astype(np.int32)
-            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["rep", "vec", "copies", "keys"])
+            for some in slices(batch, 1):
+                m = matrix(some.column(1), -1)
+                sums = np.zeros((len(m), tables * bits))
+                for at in range(0, m.shape[1], WIDE):
+                    part = m[:, at : at + WIDE]
+                    sums += part @ (first[: part.shape[1]] if not at else _planes(at // WIDE, part.shape[1], tables * bits))
+                keys = ((sums > 0).reshape(len(m), tables, bits) @ weights).astype(np.int32)
+                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*some.columns, lists], names=["rep", "vec", "copies", "keys"])
 
     return of
 
 
-def _compared(width: int, threshold: float):
+def _compared(threshold: float):
     """From groups of (table, key, low, high): each vector's links, and links that span the groups' components."""
 
     def group(rep, unit, copies, keys, block, table, low, high, out):
@@ -98,9 +110,9 @@ def _compared(width: int, threshold: float):
             ends = np.append(starts[1:], len(rep))
             out: list = []
             for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                m = matrix(whole.column("vec").slice(s, e - s), width)
+                m = matrix(whole.column("vec").slice(s, e - s), -1)
                 unit = m / np.linalg.norm(m, axis=1, keepdims=True)
-                keys = matrix(whole.column("keys").slice(s, e - s), 0 if not e - s else len(whole.column("keys")[s])).astype(np.int32)
+                keys = matrix(whole.column("keys").slice(s, e - s), -1).astype(np.int32)
                 group(rep[s:e], unit, copies[s:e], keys, block[s:e], int(table[s]), int(low[s]), int(high[s]), out)
             if out:
                 a, b, links = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -122,22 +134,25 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     valid = rows.where(F.col("id").isNotNull() & finite("vec") & F.exists("vec", lambda x: x != 0))
     # 0.0 and -0.0 are one number; adding zero makes them one list as well.
     valid = valid.select("id", F.transform("vec", lambda x: x + F.lit(0).cast("float")).alias("vec"))
-    reps = staged(valid.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
-    width, n = longest(reps, "vec"), reps.count()
+    reps = staged(valid.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).select("rep", "vec", "copies"), "vectors")
+    n = reps.count()
     bits, tables = plan(n, threshold, recall)
-    signed = staged(reps.select("rep", "vec", "copies").mapInArrow(_signed(bits, tables, width), f"rep {rows.schema['id'].dataType.simpleString()}, {_kind(reps)}, copies long, keys array<int>"), "signed")
+    signed = staged(reps.mapInArrow(_signed(bits, tables), f"rep {rows.schema['id'].dataType.simpleString()}, {_kind(reps)}, copies long, keys array<int>"), "signed")
 
-    keyed = signed.select("*", F.posexplode("keys").alias("table", "key"))
-    shared = signed.select(F.posexplode("keys").alias("table", "key")).groupBy("table", "key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    # Keys and ids alone are counted and joined; a vector is fetched for each of its keys that another vector holds.
+    keyed = signed.select("rep", F.posexplode("keys").alias("table", "key"))
+    shared = staged(keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "shared-keys")
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", "table"), "blocks").cast("int")
     cut = keyed.join(shared, ["table", "key"]).withColumn("blocks", blocks).withColumn("block", own)
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     where = ["table", "key", "low", "high"]
-    dealt = cut.select(*where, "block", "rep", "copies", "vec", "keys").repartition(*where).sortWithinPartitions(*where)
-    found = staged(dealt.mapInArrow(_compared(width, threshold), "a long, b long, links long"), "found")
+    dealt = cut.join(signed, "rep").select(*where, "block", "rep", "copies", "vec", "keys").repartition(*where).sortWithinPartitions(*where)
+    found = staged(dealt.mapInArrow(_compared(threshold), "a long, b long, links long"), "found")
 
+    discard(signed)
+    discard(shared)
     counts = found.where("b = -1 and links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     reached = connected_components(found.where("links = 0").select("a", "b")).withColumnRenamed("node", "rep")
     named = reps.join(counts, "rep", "left").join(reached, "rep", "left")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -15,11 +17,6 @@ def finite(column: str) -> Column:
     return F.coalesce(good, F.lit(False))
 
 
-def longest(df: DataFrame, column: str) -> int:
-    """The largest number of components; shorter vectors are read as if zeros followed."""
-    return df.agg(F.max(F.size(column))).first()[0] or 0
-
-
 def matrix(lists: pa.Array, width: int) -> np.ndarray:
     """Rows of doubles from a list array without nulls, filled up with zeros to ``width``, or if that is negative to the longest."""
     if isinstance(lists, pa.ChunkedArray):
@@ -33,3 +30,18 @@ def matrix(lists: pa.Array, width: int) -> np.ndarray:
     out = np.zeros((len(lists), width))
     out[np.repeat(np.arange(len(lists)), sizes), np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], sizes)] = flat
     return out
+
+
+#: Values of vectors that are looked at together.
+BLOCK_VALUES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that hold ``BLOCK_VALUES`` values in a list column at most once the lists are filled up to the longest of them, or one row."""
+    sizes = np.diff(np.asarray(batch.column(column).offsets, dtype=np.int64))
+    at = 0
+    while at < batch.num_rows:
+        filled = np.maximum.accumulate(sizes[at:]) * np.arange(1, batch.num_rows - at + 1)
+        n = max(1, int(np.searchsorted(filled, BLOCK_VALUES, side="right")))
+        yield batch.slice(at, n)
+        at += n

@@ -154,6 +154,27 @@ def test_blocks_of_a_key(spark, monkeypatch):
     assert [got[i].n_links for i in range(300)] == near.tolist() and {x.component_id for x in got.values()} == {0}
 
 
+def test_recall_at_the_registered_setting(spark):
+    """Of pairs planted just above the threshold at least 0.98 are found, and none below it is linked."""
+    r = np.random.default_rng(21)
+    base = r.standard_normal((1500, 48))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = r.standard_normal((1500, 48))
+    off -= (off * base).sum(axis=1, keepdims=True) * base
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cos = np.where(np.arange(1500) < 1000, 0.951, 0.949)[:, None]
+    rows = np.vstack([base, cos * base + np.sqrt(1 - cos**2) * off])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {x.vec_id: x for x in near_vectors(df).collect()}
+    assert sum(got[i].n_links == 1 and got[i + 1500].component_id == i for i in range(1000)) >= 980
+    assert all(got[i].n_links == 0 for i in range(1000, 1500))
+
+
+def test_one_very_long_vector(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 4.0]), (2, [1.0] * 100_000), (3, [1.0, 2.0, 0.0])], "vec_id long, embedding array<double>")
+    assert {x.vec_id: (x.n_links, x.component_id) for x in near_vectors(df).collect()} == {0: (2, 0), 1: (2, 0), 2: (0, 2), 3: (2, 0)}
+
+
 def test_plan_reaches_its_recall():
     for n in (10, 1000, 10**6, 10**9):
         bits, tables = plan(n)
