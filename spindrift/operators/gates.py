@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spindrift.errors import EvaluateError
-from spindrift.spec import EvaluateSpec, Gate, ScorerSpec
+from spindrift.spec import MORE_GATES, EvaluateSpec, Gate, ScorerSpec
 
 Rule = Callable[[Sequence[Column], Sequence[ScorerSpec], EvaluateSpec], Column]
 
@@ -59,8 +59,9 @@ _rules: dict[str, Rule] = {Gate.ALL: _all, Gate.MAJORITY: _majority, Gate.ANY: _
 
 
 def register_gate(name: str, rule: Rule) -> None:
-    """Make a rule of one's own available under a name."""
+    """Make a rule of one's own available under a name, also to pipeline files that are read from then on."""
     _rules[name] = rule
+    MORE_GATES.add(name)
 
 
 def gate(name: str, scores: Sequence[Column], scorers: Sequence[ScorerSpec], spec: EvaluateSpec) -> Column:
@@ -70,6 +71,10 @@ def gate(name: str, scores: Sequence[Column], scorers: Sequence[ScorerSpec], spe
     return _rules[name](scores, scorers, spec)
 
 
+def has_gate(name: str) -> bool:
+    return name in _rules
+
+
 def failure_reason(name: str, scores: Sequence[Column], scorers: Sequence[ScorerSpec], spec: EvaluateSpec) -> Column:
     """Why a row fails its gate, null where it passes. Numbers are shown with three decimals, rounded half to even."""
     shown = [F.concat(F.lit(f"{e.name} "), F.when(s.isNull(), "missing").otherwise(_short(s)), F.lit(f" < {e.threshold:.3f}")) for s, e in zip(scores, scorers, strict=True)]

@@ -33,10 +33,18 @@ def projected(records: DataFrame, spec: EvaluateSpec, prefix: str = "etl_", comp
     return records.select(*columns, *[c.alias(n) for n, c in chosen.items()])
 
 
+def with_schema(rows: DataFrame, schema: dict[str, str], text: str) -> DataFrame:
+    """``rows`` with the fields of a JSON text as columns of stated types; a text that is no such JSON gives nulls, and a field wins over a column of its name."""
+    read = F.from_json(text, T.StructType([T.StructField(k, T._parse_datatype_string(v)) for k, v in schema.items()]))
+    return rows.withColumns({k: read.getField(k) for k in schema})
+
+
 def load(records: DataFrame, spec: LoadSpec, of: EvaluateSpec, prefix: str = "etl_", single_file: bool = False, key: str | None = None) -> int:
     """Write the loadable rows and return how many they are; where there are none, nothing is touched."""
     kind = resolve_format(spec.destination_type, spec.destination, "destination")
     rows = projected(records.where(loadable()), of, prefix)
+    if spec.schema:
+        rows = with_schema(rows, spec.schema, f"{prefix}transformed_data")
     if rows.isEmpty():
         return 0
     return write(rows, spec.destination, kind, spec.mode, single_file, key)

@@ -39,11 +39,23 @@ def pass_rates(records: DataFrame, by: str) -> DataFrame:
 
 
 def batch_quality(records: DataFrame, spec: EvaluateSpec) -> DataFrame:
-    """One row: the batch's counts and pass rate, and the spread of all its scores."""
-    decided = records.agg(F.count(F.lit(1)).alias("total"), F.count_if("__gate").alias("passed"), F.count_if(~F.col("__gate")).alias("failed")).withColumn("pass_rate", F.try_divide(F.col("passed"), F.col("total")))
-    s = F.col("score")
-    spread = long_form(records, spec).agg(F.avg(s).alias("mean_score"), F.stddev_samp(s).alias("std_score"), F.min(s).alias("min_score"), F.max(s).alias("max_score"))
-    return decided.join(spread, F.lit(True))
+    """One row: the batch's counts, pass rate, and the spread of all its scores, in one pass."""
+    scores = F.array(*[F.col(f"`{score_column(e.name)}`") for e in spec.evaluators])
+    each = records.select("__gate", F.posexplode(scores).alias("at", "s"))
+    s, first = F.col("s"), F.col("at") == 0
+    told = each.agg(
+        F.count_if(first).alias("total"),
+        F.count_if(first & F.col("__gate")).alias("passed"),
+        F.count_if(first & ~F.col("__gate")).alias("failed"),
+        *[f(s).alias(f"{n}_score") for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))],
+    )
+    return told.select("total", "passed", "failed", F.try_divide(F.col("passed"), F.col("total")).alias("pass_rate"), "mean_score", "std_score", "min_score", "max_score")
+
+
+def rejection_rate(records: DataFrame) -> DataFrame:
+    """One row: the share of the records that a gate decided about and turned down; null where none was decided."""
+    decided = records.agg(F.count_if(~F.col("__gate")).alias("rejected"), F.count("__gate").alias("processed"))
+    return decided.withColumn("rejection_rate", F.try_divide(F.col("rejected"), F.col("processed")))
 
 
 def quarantine(records: DataFrame, run_id: str, reason: Column, columns: Sequence[str]) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import asyncio
+import importlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from spindrift.errors import ConfigurationError
 from spindrift.functions.template import Template
 from spindrift.plans.resilience import Backoff, CircuitOpenError, breaker, retried
+from spindrift.settings import Settings
 from spindrift.spec import Status, TransformSpec
 
 #: An outside model: the prompt, the model's name, the temperature and the most tokens give a text.
@@ -144,7 +146,31 @@ def without_prefix(cache: DataFrame, prefix: str) -> DataFrame:
     return cache.where(~F.col("key").startswith(prefix))
 
 
-def need(name: str, providers: dict[str, Rules | Service]) -> Rules | Service:
-    if name not in providers:
-        raise ConfigurationError(f"no provider named {name!r}")
-    return providers[name]
+_providers: dict[str, Rules | Service] = {"echo": Rules(), "rules": Rules()}
+
+
+def register_provider(name: str, provider: Rules | Service) -> None:
+    """Make a provider available to pipeline files under a name."""
+    _providers[name] = provider
+
+
+def need(name: str) -> Rules | Service:
+    """The provider registered under a name, or the one that ``module:factory`` leads to: a provider, or a function that makes a client."""
+    if name in _providers:
+        return _providers[name]
+    module, _, attribute = name.partition(":")
+    if not attribute:
+        raise ConfigurationError(f"no provider named {name!r}; register one, or name a factory as module:function")
+    try:
+        found = getattr(importlib.import_module(module), attribute)
+    except (ImportError, AttributeError) as e:
+        raise ConfigurationError(f"no provider at {name!r}: {e}") from e
+    return found if isinstance(found, (Rules, Service)) else Service(found)
+
+
+def tuned(provider: Rules | Service, s: Settings, run_id: str) -> Rules | Service:
+    """A service with the settings' concurrency, retries and breaker, whose breaker is the run's own."""
+    if isinstance(provider, Rules):
+        return provider
+    retries = Backoff(s.retry_attempts, s.retry_initial, s.retry_base, s.retry_longest)
+    return replace(provider, run_id=run_id, at_once=s.max_concurrent_records, retries=retries, failures=s.breaker_failures, seconds=s.breaker_seconds, successes=s.breaker_successes)

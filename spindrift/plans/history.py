@@ -5,7 +5,7 @@ from __future__ import annotations
 import threading
 import uuid
 from collections.abc import Callable
-from typing import Any
+from typing import TYPE_CHECKING, Any
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from spindrift.errors import DeadlineError
 from spindrift.operators.reports import latest
-from spindrift.plans.runner import Run
+
+if TYPE_CHECKING:
+    from spindrift.plans.runner import Run
 
 RUNS = """run_id string, pipeline_name string, pipeline_version string, status string, started_at timestamp, completed_at timestamp, error_message string,
 total_records long, extracted_records long, transformed_records long, evaluated_records long, passed_records long, failed_records long, loaded_records long,

@@ -25,6 +25,11 @@ class Settings:
     log_level: str = "INFO"
     pipelines_folder: str = "pipelines"
     column_prefix: str = "etl_"
+    #: Seconds that a stage may take; 0 sets no limit.
+    extract_seconds: float = 0.0
+    transform_seconds: float = 0.0
+    evaluate_seconds: float = 0.0
+    load_seconds: float = 0.0
 
 
 _held: dict[str, Settings] = {}

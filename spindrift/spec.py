@@ -132,6 +132,8 @@ class LoadSpec:
     mode: str = "append"
     batch_size: int = 100
     timeout: float = 30.0
+    schema: Any = None
+    on_failure: str = "skip"
 
     BOUNDS = {"batch_size": POSITIVE, "timeout": POSITIVE}
 
@@ -154,7 +156,9 @@ NESTED = {"extract": ExtractSpec, "transform": TransformSpec, "evaluate": Evalua
 CHOICES = {"quality_gate": Gate, "source_type": Format, "destination_type": Format}
 NUMBERS = {"threshold", "weight", "timeout", "temperature", "quality_gate_threshold", "batch_threshold"}
 WHOLE = {"batch_size", "max_tokens"}
-OPEN = {"criteria", "params"}
+OPEN = {"criteria", "params", "schema"}
+#: Names of gates beside the built-in ones, as ``register_gate`` adds them.
+MORE_GATES: set[str] = set()
 
 
 def build(kind: type, given: Any, at: str = "pipeline"):
@@ -176,7 +180,7 @@ def build(kind: type, given: Any, at: str = "pipeline"):
 
 
 def _value(name: str, x: Any, where: str, optional: bool) -> Any:
-    if name in OPEN or x is None and optional:
+    if x is None and optional or name in OPEN and name != "schema":
         return x
     if name in NESTED:
         return build(NESTED[name], x, where)
@@ -184,6 +188,14 @@ def _value(name: str, x: Any, where: str, optional: bool) -> Any:
         if not isinstance(x, (list, tuple)) or not x:
             raise SpecError(f"{where}: at least one is needed")
         return tuple(build(ScorerSpec, y, f"{where}[{i}]") for i, y in enumerate(x))
+    if name == "on_failure" and x not in ("skip", "quarantine"):
+        raise SpecError(f"{where}: {x!r} is none of skip, quarantine")
+    if name == "schema" and not (isinstance(x, Mapping) and all(isinstance(k, str) and isinstance(v, str) for k, v in x.items())):
+        raise SpecError(f"{where}: a mapping from names to types is needed")
+    if name == "schema":
+        return dict(x)
+    if name == "quality_gate" and x in MORE_GATES:
+        return x
     if name in CHOICES:
         try:
             return CHOICES[name](x)

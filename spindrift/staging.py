@@ -25,9 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
     return LOCAL_FOLDER
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The folder of this application's tables within the shared folder."""
+    return f"{shared_folder(spark)}/spindrift-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in this application's folder."""
+    return f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has staged; results that were not written elsewhere can't be read any more."""
+    delete(spark, own_folder(spark))
 
 
 def staged(df: DataFrame, label: str, **options: str) -> DataFrame:

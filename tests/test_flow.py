@@ -252,6 +252,38 @@ def test_runs(spark, sources):
         Runner(pipeline(sources)).run(spark)
 
 
+def shouting():
+    async def call(prompt, **_):
+        return '{"said": "%s", "n": 2}' % prompt.upper().replace("\n", " ").replace('"', "'")
+
+    return call
+
+
+def test_what_a_run_keeps(spark, sources):
+    """A provider by its import path, fields of replies as columns, a gate of one's own, and a history of runs, statuses and failed records."""
+    from dataclasses import replace
+
+    from spindrift.operators.gates import register_gate
+    from spindrift.plans.history import runs
+
+    register_gate("long_enough", lambda scores, scorers, spec: scores[0] >= 0.9)
+    spec = pipeline(sources, quality_gate="long_enough")
+    spec = replace(spec, transform=replace(spec.transform, provider="test_flow:shouting"), load=replace(spec.load, schema={"said": "string", "n": "int"}, on_failure="quarantine"))
+    folder = str(sources / "kept")
+    run = Runner(spec, history=folder, single_file=True).run(spark)
+    assert run.metrics.total_records == 3 and run.metrics.loaded_records == run.metrics.passed_records > 0
+    told = readers.read(spark, str(sources / "out.csv"), Format.CSV)
+    assert told.columns[-2:] == ["said", "n"] and all(r.said.startswith("SAY ") and r.n == 2 for r in told.collect())
+    statuses = {r.record_id: r.status for r in spark.read.parquet(f"{folder}/records").collect()}
+    assert len(statuses) == 3 and list(statuses.values()).count("loaded") == run.metrics.loaded_records
+    assert runs(spark, folder).first()["run_id"] == run.run_id
+    assert spark.read.parquet(f"{folder}/quarantine").count() == run.metrics.failed_records
+    few = Runner(spec, limit=2, loads=False).run(spark)
+    assert few.metrics.total_records == 2 and few.metrics.loaded_records == 0
+    with pytest.raises(ConfigurationError):
+        Runner(replace(spec, transform=replace(spec.transform, provider="no_such.module:x")))
+
+
 def test_windowed_stream(spark, tmp_path):
     from spindrift.streaming.flows import files, windowed_rates
 
