@@ -204,8 +204,9 @@ def _near_words(texts: DataFrame, distinct: DataFrame, words: int) -> tuple[Data
     for some in [*(range(at, min(at + KEYS_AT_ONCE, len(choices))) for at in range(0, len(choices), KEYS_AT_ONCE)), halves]:
         keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col(f"q{i}").alias("key")) for i in some])
         keys = distinct.select(line, F.explode(keys).alias("x")).select("line_id", "x.*").where("key is not null")
-        keys = keys.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("held > 1")
+        keys, several = _held(keys, "key")
         held.append(staged(keys.select("line_id", "choice"), "held-lines"))
+        discard(several)
         reclaim(texts.sparkSession)
     at = distinct.select(line, "first").join(reduce(DataFrame.unionByName, held), "line_id")
     at = at.groupBy("first.__id", "first.__of").agg(F.collect_list(F.struct(F.col("first.__place").alias("__place"), "choice")).alias("met"))
@@ -229,12 +230,21 @@ def _near_words(texts: DataFrame, distinct: DataFrame, words: int) -> tuple[Data
         state = state.withColumn("options", F.array(*options)).select("spot", F.get("options", F.col("choice") - rows[0]).alias("x")).select("spot", "x.*")
         state, staging = _narrowed(state, k)
         tables += staging
-        earliest = F.min("spot").over(Window.partitionBy("f1", "f2"))
-        near.append(state.withColumn("earliest", earliest).where(F.col("earliest") < F.col("spot")).select("spot.*"))
+        earliest = state.groupBy("f1", "f2").agg(F.min("spot").alias("earliest"))
+        near.append(state.join(earliest, ["f1", "f2"]).where(F.col("earliest") < F.col("spot")).select("spot.*"))
     near.append(_one_word_more(found.where(F.col("choice") >= len(choices)).withColumn("half", F.col("choice") - len(choices))))
     return reduce(DataFrame.unionByName, near).distinct(), tables
 
 
+def _held(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """Those of ``rows`` whose keys other rows have too, with the number ``held`` of them, and the staged table of these keys.
+
+    Keys are counted before rows are joined to them, so a key that very many rows have is combined before the shuffle and split after it.
+    """
+    several = staged(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "several")
+    return rows.join(several, list(keys)), several
+
+
 def _left_out(parts: list[Column], left: tuple[int, ...], *about: Column) -> Column:
     """Two hashes of the parts that aren't left out and of ``about``, and the words of those that are."""
     rest = [*about, *[part for j, part in enumerate(parts) if j not in left]]
@@ -247,9 +257,9 @@ def _narrowed(state: DataFrame, k: int) -> tuple[DataFrame, list[DataFrame]]:
     Each round leaves out at most ``k`` of ``3 * k`` parts of what the round before it left out; choices that meet no line are dropped, and so
     are those that meet only the lines that a smaller choice of the same parts meets.
     """
-    tables, done = [], []
-    here = Window.partitionBy("f1", "f2")
-    state = state.withColumn("held", F.count(F.lit(1)).over(here)).where("held > 1").drop("held")
+    state, several = _held(state, "f1", "f2")
+    state = state.select("spot", "f1", "f2", "inside")
+    tables, done = [several], []
     masks = F.array(*[F.lit(sum(1 << j for j in left)) for size in range(k + 1) for left in combinations(range(3 * k), size)])
     while True:
         state = staged(state, "narrowed-lines")
@@ -264,7 +274,8 @@ def _narrowed(state: DataFrame, k: int) -> tuple[DataFrame, list[DataFrame]]:
         rest = F.filter("parts", lambda part, j: F.get(bits, j).bitwiseAND(F.col("mask")) == 0)
         inside = F.flatten(F.filter("parts", lambda part, j: F.get(bits, j).bitwiseAND(F.col("mask")) != 0))
         chosen = chosen.withColumn("rest", rest).select("spot", "p1", "p2", "mask", F.xxhash64("p1", "p2", "mask", "rest").alias("f1"), F.xxhash64(F.lit(1), "p1", "p2", "mask", "rest").alias("f2"), inside.alias("inside"))
-        chosen = chosen.withColumn("held", F.count(F.lit(1)).over(here)).where("held > 1")
+        chosen, several = _held(chosen, "f1", "f2")
+        tables.append(several)
         chosen = chosen.withColumn("all", F.collect_list(F.struct("mask", "held")).over(Window.partitionBy("spot", "p1", "p2")))
         within = F.exists("all", lambda x: (x["mask"] != F.col("mask")) & (x["mask"].bitwiseAND(F.col("mask")) == x["mask"]) & (x["held"] == F.col("held")))
         state = chosen.where(~within).select("spot", "f1", "f2", "inside")
@@ -282,7 +293,8 @@ def _one_word_more(found: DataFrame) -> DataFrame:
     rest = F.when(F.col("at") < 0, F.col("inside")).otherwise(F.concat(F.slice("inside", F.lit(1), F.greatest("at", F.lit(0))), F.slice("inside", F.greatest("at", F.lit(0)) + 2, F.size("inside"))))
     parts = ["length", "piece", "outside", "rest"]
     found = found.withColumn("rest", rest).select("spot", "longer", F.xxhash64(*parts).alias("f1"), F.xxhash64(F.lit(1), *parts).alias("f2"))
-    here = Window.partitionBy("f1", "f2")
     # Of lines that share a remainder those as long as it are equal in their words, and go before or after one of the longer ones.
-    other = F.when(F.col("longer") == 1, F.min(F.when(F.col("longer") == 0, F.col("spot"))).over(here)).otherwise(F.min(F.when(F.col("longer") == 1, F.col("spot"))).over(here))
-    return found.withColumn("other", other).where(F.col("other") < F.col("spot")).select("spot.*").distinct()
+    least = {name: F.min(F.when(F.col("longer") == longer, F.col("spot"))).alias(name) for longer, name in enumerate(("least_shorter", "least_longer"))}
+    least = found.groupBy("f1", "f2").agg(*least.values()).where("least_shorter is not null and least_longer is not null")
+    other = F.when(F.col("longer") == 1, F.col("least_shorter")).otherwise(F.col("least_longer"))
+    return found.join(least, ["f1", "f2"]).where(other < F.col("spot")).select("spot.*").distinct()
