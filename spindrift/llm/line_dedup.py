@@ -17,6 +17,7 @@ meet over a half emit the remainder of every single deleted word.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 from itertools import combinations
 
@@ -222,12 +223,13 @@ def _near_words(texts: DataFrame, distinct: DataFrame, words: int) -> tuple[Data
     found = staged(found.select("spot", "choice", hashed.alias("w")).withColumn("m", F.size("w")), "met-word-lines")
 
     tables, near = [*held, met, found], []
+    masks = _masks(left for _, left in choices)
     for k in range(1, words + 1):
         rows = [i for i, c in enumerate(choices) if c[0] == k]
         state = found.where(F.col("choice").isin(rows))
-        cut = _cut(F.col("w"), F.col("m"), words + 3)
-        options = [_left_out(cut, left, F.lit(i), F.col("m")) for i, (_, left) in enumerate(choices) if i in rows]
-        state = state.withColumn("options", F.array(*options)).select("spot", F.get("options", F.col("choice") - rows[0]).alias("x")).select("spot", "x.*")
+        parts = F.array(*_cut(F.col("w"), F.col("m"), words + 3))
+        state = _left_out(state.select("spot", "choice", "m", parts.alias("parts"), F.get(masks, "choice").alias("mask")), "choice", "m")
+        state = state.select("spot", "f1", "f2", "inside")
         state, staging = _narrowed(state, k)
         tables += staging
         earliest = state.groupBy("f1", "f2").agg(F.min("spot").alias("earliest"))
@@ -245,10 +247,16 @@ def _held(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
     return rows.join(several, list(keys)), several
 
 
-def _left_out(parts: list[Column], left: tuple[int, ...], *about: Column) -> Column:
-    """Two hashes of the parts that aren't left out and of ``about``, and the words of those that are."""
-    rest = [*about, *[part for j, part in enumerate(parts) if j not in left]]
-    return F.struct(F.xxhash64(*rest).alias("f1"), F.xxhash64(F.lit(1), *rest).alias("f2"), F.concat(*[parts[j] for j in left]).alias("inside"))
+def _masks(choices: Iterable[tuple[int, ...]]) -> Column:
+    """The numbers whose bits are the parts that each choice leaves out."""
+    return F.array(*[F.lit(sum(1 << j for j in left)) for left in choices])
+
+
+def _left_out(rows: DataFrame, *about: str) -> DataFrame:
+    """``rows`` with two hashes ``f1`` and ``f2`` of ``about`` and the ``parts`` outside ``mask``, and the words ``inside`` it."""
+    within = lambda j: F.call_function("shiftright", F.col("mask"), j).bitwiseAND(1) == 1
+    rows = rows.withColumns({"rest": F.filter("parts", lambda _, j: ~within(j)), "inside": F.flatten(F.filter("parts", lambda _, j: within(j)))})
+    return rows.withColumns({"f1": F.xxhash64(*about, "rest"), "f2": F.xxhash64(F.lit(1), *about, "rest")})
 
 
 def _narrowed(state: DataFrame, k: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -260,7 +268,7 @@ def _narrowed(state: DataFrame, k: int) -> tuple[DataFrame, list[DataFrame]]:
     state, several = _held(state, "f1", "f2")
     state = state.select("spot", "f1", "f2", "inside")
     tables, done = [several], []
-    masks = F.array(*[F.lit(sum(1 << j for j in left)) for size in range(k + 1) for left in combinations(range(3 * k), size)])
+    masks = _masks(left for size in range(k + 1) for left in combinations(range(3 * k), size))
     while True:
         state = staged(state, "narrowed-lines")
         tables.append(state)
@@ -269,11 +277,8 @@ def _narrowed(state: DataFrame, k: int) -> tuple[DataFrame, list[DataFrame]]:
         if wide.isEmpty():
             return reduce(DataFrame.unionByName, done), tables
         cut = F.array(*_cut(F.col("inside"), F.size("inside"), 3 * k))
-        bits = F.array(*[F.lit(1 << j) for j in range(3 * k)])
         chosen = wide.select("spot", F.col("f1").alias("p1"), F.col("f2").alias("p2"), cut.alias("parts"), F.explode(masks).alias("mask"))
-        rest = F.filter("parts", lambda part, j: F.get(bits, j).bitwiseAND(F.col("mask")) == 0)
-        inside = F.flatten(F.filter("parts", lambda part, j: F.get(bits, j).bitwiseAND(F.col("mask")) != 0))
-        chosen = chosen.withColumn("rest", rest).select("spot", "p1", "p2", "mask", F.xxhash64("p1", "p2", "mask", "rest").alias("f1"), F.xxhash64(F.lit(1), "p1", "p2", "mask", "rest").alias("f2"), inside.alias("inside"))
+        chosen = _left_out(chosen, "p1", "p2", "mask").select("spot", "p1", "p2", "mask", "f1", "f2", "inside")
         chosen, several = _held(chosen, "f1", "f2")
         tables.append(several)
         chosen = chosen.withColumn("all", F.collect_list(F.struct("mask", "held")).over(Window.partitionBy("spot", "p1", "p2")))
