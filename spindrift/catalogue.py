@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import scorers
 from spindrift.functions.template import Template, python_text
 from spindrift.operators import gates, load, reports
-from spindrift.operators.evaluate import evaluate
+from spindrift.operators.evaluate import enough_pass, evaluate
 from spindrift.operators.transform import Rules, cache_key, complete_once, parsed, transform
 from spindrift.plans.resilience import Backoff, recovery_action, trace
 from spindrift.plans.runner import counts
@@ -135,15 +135,15 @@ def extract_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _roundtrip(spark: SparkSession, sf_dir: str, kind: Format) -> DataFrame:
-    rows = table(spark, sf_dir, "nation").withColumn("n_name", F.concat("n_name", F.lit(', "x"')))
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit(', "x"')).alias("event_type"), "value", "props")
     path = f"{new_path(spark, 'roundtrip')}.{kind}"
     load.write(rows, path, kind, "overwrite")
     load.write(rows, path, kind, "append")
     back = readers.read(spark, path, kind) if kind != Format.JSON else spark.read.json(path)
-    return back.select(*[F.col(c).cast("long" if c != "n_name" else "string") for c in rows.columns])
+    return back.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema])
 
 
-_TWICE = "SELECT n_nationkey::BIGINT AS n_nationkey, n_name || ', \"x\"' AS n_name, n_regionkey::BIGINT AS n_regionkey FROM (SELECT * FROM nation UNION ALL SELECT * FROM nation)"
+_TWICE = "SELECT event_id, event_type || ', \"x\"' AS event_type, value, props FROM (SELECT * FROM events UNION ALL SELECT * FROM events)"
 
 
 @query(_TWICE)
@@ -166,12 +166,12 @@ def load_append_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _roundtrip(spark, sf_dir, Format.PARQUET)
 
 
-@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN upper(n_name) || '!' ELSE n_name END AS n_name, n_regionkey FROM nation")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN upper(o_orderstatus) || '!' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders")
 def load_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, path = table(spark, sf_dir, "nation"), new_path(spark, "upsert")
+    rows, path = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), new_path(spark, "upsert")
     load.write(rows, path, Format.PARQUET, "overwrite")
-    changed = rows.where("n_regionkey = 1").withColumn("n_name", F.concat(F.upper("n_name"), F.lit("!")))
-    load.write(changed, path, Format.PARQUET, "upsert", key="n_nationkey")
+    changed = rows.where("o_orderstatus = 'F'").withColumn("o_orderstatus", F.concat(F.upper("o_orderstatus"), F.lit("!")))
+    load.write(changed, path, Format.PARQUET, "upsert", key="o_orderkey")
     return spark.read.parquet(path)
 
 
@@ -191,7 +191,7 @@ def prompt_null_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", Template("q=${quality} t=$t $$5").rendered(rows).alias("prompt"))
 
 
-@query()
+@query("SELECT event_id, value::VARCHAR AS printed FROM events")
 def prompt_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
     return rows.select("event_id", python_text(rows, "value").alias("printed"))
@@ -276,15 +276,20 @@ def score_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(first)).select("vec_id", F.round(scorers.cosine(F.col("embedding"), F.col("first")), 9).alias("score"))
 
 
-@query("""WITH h AS (SELECT e.vec_id, z.vec_id AS hit, list_cosine_similarity(e.embedding::DOUBLE[], z.embedding::DOUBLE[]) AS s
-  FROM embeddings e JOIN embeddings z ON e.vec_id % 5 = 0 AND z.vec_id % 5 <> 0) SELECT vec_id, count(*) AS hits FROM h WHERE s > 0.3 GROUP BY vec_id""")
+#: Asked vectors that every held vector is compared with in one task.
+ASKED = 256
+
+
+@query("""WITH h AS (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], z.embedding::DOUBLE[]) AS s
+  FROM embeddings e JOIN embeddings z ON e.vec_id % 50 = 0 AND z.vec_id <> e.vec_id) SELECT vec_id, count(*) AS hits FROM h WHERE s > 0.3 GROUP BY vec_id""")
 def vector_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every fifth vector, how many of the others lie within the cache's cosine; the asked ones come in blocks of bounded size."""
+    """For each vector whose id 50 divides, how many of all others lie within the cache's cosine; blocks of asked ones grow in number, not in size."""
     rows = table(spark, sf_dir, "embeddings")
-    asked = rows.where("vec_id % 5 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("of")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(64)))
-    asked = asked.groupBy("block").agg(F.collect_list(F.struct("id", "of")).alias("asked"))
-    held = rows.where("vec_id % 5 <> 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(63)))).join(asked, "block")
-    pairs = held.select("embedding", F.explode("asked").alias("q")).where(scorers.cosine(F.col("embedding"), F.col("q.of")) > 0.3)
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("of"))
+    blocks = -(-asked.count() // ASKED) or 1
+    asked = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "of")).alias("asked"))
+    held = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "block")
+    pairs = held.select("vec_id", "embedding", F.explode("asked").alias("q")).where((F.col("vec_id") != F.col("q.id")) & (scorers.cosine(F.col("embedding"), F.col("q.of")) > 0.3))
     return pairs.groupBy(F.col("q.id").alias("vec_id")).agg(F.count(F.lit(1)).alias("hits"))
 
 
@@ -351,11 +356,17 @@ def gate_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[gates.gate(g, [F.col("x")], one, spec).alias(n) for n, g in (("all_pass", Gate.ALL), ("any_pass", Gate.ANY), ("weighted", Gate.WEIGHTED))])
 
 
-@query(GATED + "SELECT doc_id, k AS passing, gate IS NULL OR NOT gate AS has_reason FROM g WHERE NOT broke")
+#: Why a row of ``g`` fails the gate of all scorers.
+_REASON = "'below threshold: ' || concat_ws('; ', " + ", ".join(
+    f"CASE WHEN NOT coalesce({c} >= {t}, false) THEN '{name} ' || coalesce(format('{{:.3f}}', {c}), 'missing') || ' < {t:.3f}' END" for c, name, t in (("q", "quality", 0.5), ("s", "safe", 0.5), ("n", "long", 0.8))
+) + ")"
+
+
+@query(GATED + f"SELECT doc_id, k AS passing, CASE WHEN NOT gate THEN {_REASON} END AS reason FROM g WHERE NOT broke")
 def gate_failure_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = [F.col(f"__score_{e.name}") for e in SCORERS]
     rows = gated(spark, sf_dir).where("__gate is not null")
-    return rows.select("doc_id", gates.passing(scores, SCORERS).alias("passing"), gates.failure_reason(Gate.ALL, scores, SCORERS, spec_of()).isNotNull().alias("has_reason"))
+    return rows.select("doc_id", gates.passing(scores, SCORERS).alias("passing"), gates.failure_reason(Gate.ALL, scores, SCORERS, spec_of()).alias("reason"))
 
 
 # Batches and reports
@@ -395,10 +406,10 @@ def batch_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumns({c: F.round(c, 9) for c in ("mean_score", "std_score")})
 
 
-@query(GATED + "SELECT t AS threshold, (SELECT count(*) FILTER (gate) / count(*) FROM g) >= t AS holds FROM (VALUES (0.1::DOUBLE), (0.3::DOUBLE), (0.9::DOUBLE)) v(t)")
+@query(GATED + "SELECT t AS threshold, coalesce((SELECT count(*) FILTER (gate) / nullif(count(*), 0) FROM g) >= t, true) AS holds FROM (VALUES (0.1::DOUBLE), (0.3::DOUBLE), (0.9::DOUBLE)) v(t)")
 def batch_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    share = gated(spark, sf_dir).agg((F.count_if("__gate") / F.count(F.lit(1))).alias("share"))
-    return share.select(F.explode(F.array(F.lit(0.1), F.lit(0.3), F.lit(0.9))).alias("threshold"), "share").select("threshold", (F.col("share") >= F.col("threshold")).alias("holds"))
+    told = counts(gated(spark, sf_dir)).first()
+    return spark.createDataFrame([(t, enough_pass(told.passed_records, told.total_records, t)) for t in (0.1, 0.3, 0.9)], "threshold double, holds boolean")
 
 
 _COUNTS = """SELECT count(*) AS total_records, count(*) FILTER (length(reply) > 0) AS transformed_records, count(*) FILTER (gate IS NOT NULL) AS evaluated_records,
@@ -421,11 +432,13 @@ def load_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.projected(gated(spark, sf_dir, Gate.MAJORITY).where(load.loadable()), spec_of())
 
 
-@query(GATED + "SELECT 'r1' AS run_id, record_id, CASE WHEN broke THEN 'transform' ELSE 'evaluate' END AS stage, broke, false AS resolved FROM g WHERE broke OR NOT gate")
+@query(GATED + f"""SELECT 'r1' AS run_id, record_id, CASE WHEN broke THEN 'transform' ELSE 'evaluate' END AS stage, CASE WHEN broke THEN 'rejected by rule' ELSE {_REASON} END AS reason,
+  doc_id, lang, q AS quality, s AS safe, n AS long, false AS resolved FROM g WHERE broke OR NOT gate""")
 def quarantine_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = gated(spark, sf_dir)
     kept = reports.quarantine(rows, "r1", gates.failure_reason(Gate.ALL, [F.col(f"__score_{e.name}") for e in SCORERS], SCORERS, spec_of()), ["doc_id", "lang"])
-    return kept.select("run_id", "record_id", "stage", (F.col("reason") == "rejected by rule").alias("broke"), "resolved")
+    data, scores = F.from_json("data", "doc_id long, lang string").alias("d"), F.from_json("scores", "quality double, safe double, long double").alias("s")
+    return kept.select("run_id", "record_id", "stage", "reason", "resolved", data, scores).select("run_id", "record_id", "stage", "reason", "resolved", "d.*", "s.*")
 
 
 @query(GATED + "SELECT doc_id FROM g WHERE broke")
@@ -531,7 +544,26 @@ def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, w) for i, w in enumerate(how.waits())], "attempt int, wait_seconds double")
 
 
-@query()
+#: The breaker's rule step by step: five failures in a row open it, 60 seconds later calls are probes, of which three in a row close it and one failure opens it.
+_BREAKER = """WITH RECURSIVE o AS (
+  SELECT i AS step, CASE WHEN i < 5 OR i = 69 THEN 'fail' WHEN i BETWEEN 6 AND 65 THEN 'wait' ELSE 'ok' END AS said FROM range(70) r(i)),
+t AS (
+  SELECT -1::BIGINT AS step, '' AS outcome, 'closed' AS state, 0 AS streak, 0 AS now, 0 AS until
+  UNION ALL
+  SELECT step, CASE WHEN shut THEN 'rejected' ELSE said END,
+    CASE WHEN said = 'wait' OR shut THEN state WHEN said = 'ok' THEN CASE WHEN a = 'half_open' AND run + 1 >= 3 THEN 'closed' ELSE a END
+      WHEN a = 'half_open' OR run + 1 >= 5 THEN 'open' ELSE a END,
+    CASE WHEN said = 'wait' OR shut THEN streak WHEN said = 'ok' THEN CASE WHEN a = 'half_open' AND run + 1 < 3 THEN run + 1 ELSE 0 END
+      WHEN a = 'half_open' OR run + 1 >= 5 THEN 0 ELSE run + 1 END,
+    now, CASE WHEN said = 'fail' AND NOT shut AND (a = 'half_open' OR run + 1 >= 5) THEN now + 60 ELSE until END
+  FROM (SELECT *, CASE WHEN state = 'open' AND NOT shut AND said <> 'wait' THEN 'half_open' ELSE state END AS a,
+      CASE WHEN state = 'open' THEN 0 ELSE streak END AS run
+    FROM (SELECT o.step, o.said, t.state, t.streak, t.until, t.now + (o.said = 'wait')::INT AS now, o.said <> 'wait' AND t.state = 'open' AND t.now < t.until AS shut
+      FROM t JOIN o ON o.step = t.step + 1)))
+SELECT step::INTEGER AS step, outcome, state FROM t WHERE step >= 0"""
+
+
+@query(_BREAKER)
 def breaker_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = trace(["fail"] * 5 + ["ok"] + ["wait"] * 60 + ["ok"] * 3 + ["fail"], failures=5, seconds=60, successes=3)
     return spark.createDataFrame([(i, *s) for i, s in enumerate(steps)], "step int, outcome string, state string")
