@@ -233,9 +233,11 @@ def transform_call_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "key", "text", "cached")
 
 
-@query("""SELECT event_id, (props->>'k')::BIGINT AS k, NULL::VARCHAR AS text FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 3 > 0 THEN (props->>'k')::BIGINT END AS k, CASE WHEN event_id % 3 = 0 THEN 'So: ' || props END AS text FROM events""")
 def transform_parse_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", parsed(F.col("props"), {"k": "bigint"}).alias("p")).select("event_id", "p.*")
+    """Replies as columns; every third one isn't JSON and stays as text."""
+    reply = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("So: "), "props")).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", parsed(reply, {"k": "bigint"}).alias("p")).select("event_id", "p.*")
 
 
 # Scorers
@@ -448,10 +450,16 @@ def quarantine_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.to_retry(rows, held).select("doc_id")
 
 
-@query("""SELECT event_id, CASE WHEN value < 100 AND event_id % 5 < 3 THEN 'retry' WHEN event_type = 'view' THEN 'abort' WHEN event_type = 'click' THEN 'quarantine' ELSE 'quarantine' END AS action FROM events""")
+_POLICIES = ("quarantine", "skip", "abort", "fallback")
+
+
+@query("SELECT event_id, " + ", ".join(f"""CASE WHEN value < 100 AND event_id % 5 < 3 THEN 'retry' WHEN event_type = 'view' THEN 'abort'
+  WHEN event_type = 'click' THEN '{'abort' if p == 'abort' else 'quarantine'}' WHEN event_type = 'purchase' THEN '{'skip' if p == 'skip' else 'quarantine'}' ELSE '{p}' END AS with_{p}""" for p in _POLICIES) + " FROM events")
 def recovery_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stage = F.when(F.col("event_type") == "view", "extract").when(F.col("event_type") == "click", "load").otherwise("transform")
-    return table(spark, sf_dir, "events").select("event_id", recovery_action(stage, F.col("value") < 100, F.col("event_id") % 5).alias("action"))
+    """What is done about each failed event under each policy."""
+    kind = F.col("event_type")
+    stage = F.when(kind == "view", "extract").when(kind == "click", "load").when(kind == "purchase", "evaluate").otherwise("transform")
+    return table(spark, sf_dir, "events").select("event_id", *[recovery_action(stage, F.col("value") < 100, F.col("event_id") % 5, on_failure=p).alias(f"with_{p}") for p in _POLICIES])
 
 
 @query("SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n, round(avg(value), 6) AS mean_value FROM events WHERE value > 10 GROUP BY ALL")
