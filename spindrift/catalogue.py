@@ -10,6 +10,7 @@ from spindrift.functions.template import Template, python_text
 from spindrift.operators import gates, load, reports
 from spindrift.operators.evaluate import enough_pass, evaluate
 from spindrift.operators.transform import Rules, cache_key, complete_once, parsed, transform
+from spindrift.operators.vector_cache import cache_hits
 from spindrift.plans.resilience import Backoff, recovery_action, trace
 from spindrift.plans.runner import counts
 from spindrift.sources import readers
@@ -278,21 +279,11 @@ def score_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(first)).select("vec_id", F.round(scorers.cosine(F.col("embedding"), F.col("first")), 9).alias("score"))
 
 
-#: Asked vectors that every held vector is compared with in one task.
-ASKED = 256
-
-
 @query("""WITH h AS (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], z.embedding::DOUBLE[]) AS s
   FROM embeddings e JOIN embeddings z ON e.vec_id % 50 = 0 AND z.vec_id <> e.vec_id) SELECT vec_id, count(*) AS hits FROM h WHERE s > 0.3 GROUP BY vec_id""")
 def vector_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each vector whose id 50 divides, how many of all others lie within the cache's cosine; blocks of asked ones grow in number, not in size."""
-    rows = table(spark, sf_dir, "embeddings")
-    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("of"))
-    blocks = -(-asked.count() // ASKED) or 1
-    asked = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "of")).alias("asked"))
-    held = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "block")
-    pairs = held.select("vec_id", "embedding", F.explode("asked").alias("q")).where((F.col("vec_id") != F.col("q.id")) & (scorers.cosine(F.col("embedding"), F.col("q.of")) > 0.3))
-    return pairs.groupBy(F.col("q.id").alias("vec_id")).agg(F.count(F.lit(1)).alias("hits"))
+    """For each vector whose id 50 divides, how many of all others lie within the cache's cosine."""
+    return cache_hits(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 0.3)
 
 
 @query("SELECT doc_id, ((n_chars > 500)::INT + (lang = 'en')::INT + contains(text, '.')::INT) / 3 AS score FROM documents")
